@@ -339,7 +339,7 @@ def m1_transcribe(spark, sf_dir):
 
 def _small_words(code: str) -> str:
     words = ", ".join(f"'{w}'" for w in language.SMALL_WORDS[code].split())
-    return f"len(list_filter(string_split(translate(lower(text), '.,;:!?|' || chr(10) || chr(9), '         '), ' '), lambda x: x in ({words}))) as {code}"
+    return f"len(list_intersect(list_distinct(string_split(translate(lower(text), '.,;:!?|' || chr(10) || chr(9), '         '), ' ')), [{words}])) as {code}"
 
 
 @query(f"with n as (select doc_id, {', '.join(map(_small_words, language.SMALL_WORDS))} from documents) select doc_id, case greatest(de, en, es, fr) when 0 then null when de then 'de' when en then 'en' when es then 'es' else 'fr' end as language_code from n")

@@ -14,20 +14,18 @@ SMALL_WORDS = {
 }
 
 
-def words(text: Column) -> Column:
-    return F.split(F.translate(F.lower(text), ".,;:!?|\n\t", " " * 9), " ")
-
+def detect(text: Column) -> Column:
+    """The language of which a text has most different small words; null for a null text or one without any.
 
-def _among(small: list[str]):
-    return lambda word: word.isin(*small)
+    The text is split once, into its different words, which are then met with each list.
+    """
 
+    def best(words: Column) -> Column:
+        scores = [
+            F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, small.split())))).alias("n"), F.lit(-k).alias("rank"), F.lit(code).alias("code"))
+            for k, (code, small) in enumerate(SMALL_WORDS.items())
+        ]
+        return F.array_max(F.array(*scores))
 
-def detect(text: Column) -> Column:
-    """The language with most small words; null for a null text or one without any."""
-    held = words(text)
-    scores = [(code, F.size(F.filter(held, _among(small.split())))) for code, small in SMALL_WORDS.items()]
-    best = F.greatest(*(n for _, n in scores))
-    out = F.lit(None).cast("string")
-    for code, n in reversed(scores):
-        out = F.when((n == best) & (best > 0), code).otherwise(out)
-    return F.when(text.isNotNull(), out)
+    found = F.transform(F.array(F.array_distinct(F.split(F.lower(text), "[ .,;:!?|\n\t]+"))), best)
+    return F.get(F.filter(found, lambda s: s["n"] > 0), F.lit(0))["code"]
