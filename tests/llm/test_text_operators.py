@@ -139,7 +139,7 @@ def measured_by_hand(t):
         if k >= quality.MIN_REPEAT:
             covered[i : i + k] = [True] * k
     failed = n < 50 or 100 * sum(in_window) > 50 * n
-    kept = not failed and sum(covered) <= 0.4 * n and max(longest, default=0) <= 100
+    kept = not failed and sum(covered) <= 0.5 * n and max(longest, default=0) <= 100
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(in_window), sum(covered), max(longest, default=0), failed, kept
 
 
