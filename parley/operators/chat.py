@@ -35,6 +35,11 @@ def append(history: DataFrame, answers: DataFrame) -> DataFrame:
     return history.select("transcript_id", "seq", "role", "content").unionByName(added)
 
 
+def logged(question: Column, chars: int = 50) -> Column:
+    """What a log line shows of a question."""
+    return F.substring(question, 1, chars)
+
+
 def summary_prompt(context: Column) -> Column:
     return fill(SUMMARY_PROMPT, context=context)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import bullets, or_default, strip
 
+# Texts of the export.
 NO_SUMMARY = "No summary available"
 NO_ITEMS = "No specific action items identified."
 NO_TRANSCRIPT = "No transcript available."

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import extension
 
-# Accepted extensions and the MIME type of each.
+# Accepted extensions and the MIME type of each.
 MIME_TYPES = {
     ".flac": "audio/flac",
-    ".m4a": "audio/x-m4a",
+    ".m4a": "audio/mp4",
     ".mkv": "video/x-matroska",
     ".mov": "video/quicktime",
     ".mp3": "audio/mpeg",
@@ -19,8 +19,8 @@ MIME_TYPES = {
     ".wav": "audio/wav",
     ".webm": "video/webm",
 }
-#: Further MIME types that clients send for the same files.
-OTHER_TYPES = ("audio/wave", "audio/x-wav", "audio/mp4", "audio/webm")
+# Further MIME types that are accepted.
+OTHER_TYPES = ("audio/x-wav", "audio/webm")
 GLOB = "*.{" + ",".join(e[1:] for e in MIME_TYPES) + "}"
 
 

@@ -37,6 +37,16 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.option("ignoreNullFields", False).json(path)
 
 
+def append_turns(turns: DataFrame, path: str) -> None:
+    """Chat turns after those that are stored."""
+    turns.select("transcript_id", "seq", "role", "content").write.mode("append").parquet(path)
+
+
+def reset(rows: DataFrame, path: str) -> None:
+    """Stored records replaced by these; an empty frame clears them and keeps the schema."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def docx(lines: list[dict]) -> bytes:
     """A word-processor file of (style, text) paragraphs, the same bytes for the same lines."""
     body = "".join(

@@ -64,6 +64,12 @@ def test_media(spark, tmp_path):
     assert [(r.source_path, r.code) for r in media.rejects(rows, "name", "mime").collect()] == [("b.txt", 415)]
 
 
+def test_accepted_types(spark):
+    wanted = "audio/mpeg audio/wav audio/x-wav audio/mp4 audio/ogg audio/webm audio/flac video/mp4 video/webm video/quicktime video/x-matroska".split()
+    rows = spark.createDataFrame([(m,) for m in [*wanted, "text/plain", None]], "m string").select(media.accepted(F.col("m")))
+    assert [r[0] for r in rows.collect()] == [True] * len(wanted) + [False, False]
+
+
 def test_settings():
     assert Settings.load({}).max_retries == 2
     assert Settings.load({"MAX_RETRIES": "5", "TEMPERATURE": "0.5", "model_name": "x"}) == Settings(max_retries=5, temperature=0.5)

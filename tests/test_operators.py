@@ -114,6 +114,17 @@ def test_history(spark):
     assert [tuple(r) for r in chat.last_turn(chat.append(turns, answers)).collect()] == [(1, "assistant", "Error: down")]
 
 
+def test_stored_turns(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "user", "q" * 60)], "transcript_id long, seq long, role string, content string")
+    path = str(tmp_path / "turns")
+    sinks.append_turns(turns, path)
+    sinks.append_turns(turns, path)
+    assert spark.read.parquet(path).count() == 2
+    assert turns.select(chat.logged(F.col("content"))).first()[0] == "q" * 50
+    sinks.reset(turns.limit(0), path)
+    assert spark.read.parquet(path).count() == 0
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
