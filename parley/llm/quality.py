@@ -5,7 +5,8 @@ doubling ranks its suffixes; after a round only ties go on, so text that does no
 of every round also give the longest common prefix of neighbours in the suffix array. A suffix's longest repeat is the
 longer of its two common prefixes; where the one before it in the text is longer by exactly one the repeat is the rest
 of that one and not maximal to the left. The union of repeats of MIN_REPEAT words or more is the repeated part; a text is
-kept if that part is at most MAX_COVERED of its words and its longest repeat at most MAX_LONGEST words.
+kept if that part is at most MAX_COVERED of its words, or under MIN_COVERED words, and its longest repeat at most
+MAX_LONGEST words.
 
 Base rules: under MIN_WORDS words, or over MAX_REPEATED percent of them in three-word windows found twice or more.
 
@@ -28,10 +29,12 @@ from parley.llm.common import slices
 MIN_WORDS = 50
 MAX_REPEATED = 50
 WINDOW = 3
-#: Repeats of so many words count for the covered part; shorter ones are phrases of a language. Short clean texts whose
-#: first and last line are the same boilerplate reach almost half.
+#: Repeats of so many words count for the covered part; shorter ones are phrases of a language.
 MIN_REPEAT = 8
-MAX_COVERED = 0.5
+#: Must be under MAX_REPEATED percent: the covered part lies within the three-word windows, so at that share it never decides.
+MAX_COVERED = 0.4
+#: A smaller covered part is a sentence found twice, as a short text's first and last line, and rejects nothing.
+MIN_COVERED = 64
 MAX_LONGEST = 100
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -149,7 +152,8 @@ def verdicts(column: pa.Array, max_covered: float, max_longest: int) -> tuple[di
     """The counts of each text, whether a base rule fails it, and whether it is kept."""
     m = measure(pc.fill_null(column.cast(pa.string()), ""))
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
-    kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+    repetitive = (m["covered_words"] >= MIN_COVERED) & (m["covered_words"] > max_covered * m["n_words"])
+    kept = ~failed & ~repetitive & (m["longest_repeat"] <= max_longest)
     return m, failed, kept
 
 

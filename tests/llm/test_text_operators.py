@@ -139,7 +139,7 @@ def measured_by_hand(t):
         if k >= quality.MIN_REPEAT:
             covered[i : i + k] = [True] * k
     failed = n < 50 or 100 * sum(in_window) > 50 * n
-    kept = not failed and sum(covered) <= 0.5 * n and max(longest, default=0) <= 100
+    kept = not failed and (sum(covered) < 64 or sum(covered) <= 0.4 * n) and max(longest, default=0) <= 100
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(in_window), sum(covered), max(longest, default=0), failed, kept
 
 
@@ -157,6 +157,23 @@ def test_quality_like_brute_force():
         assert g == measured_by_hand(t), t
 
 
+def test_each_repetition_limit_decides():
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    line, part, long = words("l", 13), words("p", 45), words("q", 101)
+    texts = [
+        f"{line}\n{words('a', 30)}\n{line}",  # 26 of 56 words: a short text between two lines of boilerplate
+        f"{part} {words('a', 60)} {part} {words('b', 50)}",  # 90 of 200 words
+        f"{part} {words('a', 160)} {part} {words('b', 50)}",  # 90 of 300 words
+        f"{long} {words('a', 900)} {long}",
+        f"{words('q', 100)} {words('a', 900)} {words('q', 100)}",
+    ]
+    m, failed, kept = quality.verdicts(pa.array(texts), quality.MAX_COVERED, quality.MAX_LONGEST)
+    assert not failed.any() and m["covered_words"].tolist() == [26, 90, 90, 202, 200]
+    assert kept.tolist() == [True, False, True, False, True]
+
+
 def test_quality_of_odd_rows(spark):
     assert quality.judge(odd_docs(spark)).count() == len(TEXTS) and quality.judge(empty_docs(spark)).count() == 0
     assert quality.keep_good(odd_docs(spark)).columns == odd_docs(spark).columns
