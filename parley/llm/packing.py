@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import materialise, slices
-from parley.llm.wordbpe import encoder
+from parley.llm.wordbpe import SLICE, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -180,7 +180,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> Data
         seen = np.zeros(size + 1, np.int64)
         words, part_id = encoder(vocabulary), TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 flat, counts = words.encode(part.column("text"))
                 ends = np.cumsum(counts)
                 out = []

@@ -38,7 +38,7 @@ MIN_COVERED = 64
 MAX_LONGEST = 100
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 

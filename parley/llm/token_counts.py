@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import slices
-from parley.llm.wordbpe import encoder
+from parley.llm.wordbpe import SLICE, encoder
 
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text = part.column("text")
                 _, counts = words.encode(text)
                 plain = [len((x or "").encode().split()) for x in text.to_pylist()]

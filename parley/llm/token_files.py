@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import materialise, shared_folder, slices
-from parley.llm.wordbpe import encoder
+from parley.llm.wordbpe import SLICE, encoder
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         out = writer = None
         words = encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(draft)

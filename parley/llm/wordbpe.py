@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words remembered by a worker before it forgets them all (some 200 MB).
-MAX_WORDS = 900_000
+#: Distinct words remembered by a worker before it forgets them all (some 100 MB).
+MAX_WORDS = 300_000
+#: Texts are encoded in slices of about so many bytes; each takes some twenty times as much while it is worked on.
+SLICE = 2 << 20
 #: Marks that the splitter never joins to a letter before them.
 MARKS = ".,;:!?"
 #: Latin letters but U+0130, whose lower case has two code points; then closing marks.
