@@ -5,7 +5,9 @@ points, one and one more for each comma and each hundred characters (three at mo
 next ancestor, a third of a half to the next, and so on. A container's score is its points times the share of its text
 outside links. The best container is kept, widened to the article around it, with siblings that score a fifth of it or
 are paragraphs of plain text. Inside, navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles go, by tag or by words of class, id or role, and so do lists that are mostly links.
+and styles go, by tag or by words of class, id or role, and so do lists that are mostly links. An element named like
+boilerplate that holds a heading, article or main and over half of the page's text is a wrapper and stays, unless it is
+named like reader comments, which may be longer than what they comment on.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one space. Null or
 empty html, or a page without text, gives the empty string; a page without any container gives all its text but what the
@@ -27,7 +29,7 @@ from parley.llm.common import slices, texts
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
 MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 # Tag lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,24 +49,55 @@ IMPLIED = {
 # Boilerplate by tag, and by words of class, id or role.
 NO_TAGS = frozenset("head nav header footer aside form button select input dialog menu svg canvas object audio video script style textarea title noscript iframe template".split())
 NO_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments "
+    "ad adbox ads adslot adunit adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments "
     "commentlist complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu menus modal nav "
     "navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related "
     "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Readers' words: never a wrapper of the article.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Names that begin so tell of the layout, as in has-sidebar, or of a kind of text, as in long-form.
+LAYOUT = frozenset("has with no without not is show hide long".split())
+#: Words written as one.
+STEMS = ("advert", "breadcrumb", "cookie", "newsletter", "sidebar", "sponsor")
+TAILS = ("nav", "menu", "sidebar", "banner", "comments")
+#: What tells a wrapper from boilerplate that is named alike.
+HEADS = frozenset(["main", "article", "h1"])
 KEEP = frozenset(["html", "body", "article", "main", "#root"])
 ARTICLES = frozenset(["article", "main"])
 PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure".split())
 
 
+def is_boilerplate(word: str) -> bool:
+    return word in NO_WORDS or word.startswith(STEMS) or word.endswith(TAILS)
+
+
+def named(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role name boilerplate, and whether they name reader comments."""
+    found = comments = False
+    for m in MARKED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if words and words[0] not in LAYOUT:
+                found |= any(map(is_boilerplate, words))
+                comments |= any(w in COMMENTS or w.endswith("comments") for w in words)
+    return found, comments
+
+
 class Page:
     """The tree of a page: parallel lists of its elements, and its text in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.up, self.out, self.drop = ["#root"], [0], [0], [False]
+        self.tag, self.up, self.drop = ["#root"], [0], [False]
+        #: Elements named like boilerplate; True for those that hold a heading, article or main.
+        self.doubtful: dict[int, bool] = {}
+        #: The nearest of them that each element lies in, or 0.
+        self.within = [0]
         #: (element, text); text None ends a block.
         self.flow: list[tuple[int, str | None]] = []
         self._read(html)
+        if self.doubtful:
+            self._settle()
         n = len(self.tag)
         self.size, self.linked, self.links = [0] * n, [0] * n, [0] * n
         self._weigh()
@@ -73,14 +106,34 @@ class Page:
         k = len(self.tag)
         drop = self.drop[at] or tag in NO_TAGS
         if not drop and attributes and tag not in KEEP:
-            for m in MARKED.finditer(attributes):
-                drop |= not NO_WORDS.isdisjoint(WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-            drop |= bool(HIDDEN.search(attributes))
+            found, comments = named(attributes)
+            drop = comments or bool(HIDDEN.search(attributes))
+            if found and not drop:
+                self.doubtful[k] = False
         self.tag.append(tag)
         self.up.append(at)
         self.drop.append(drop)
+        self.within.append(k if k in self.doubtful else self.within[at])
+        if tag in HEADS and not drop:
+            at = self.within[at]
+            while at and not self.doubtful[at]:
+                self.doubtful[at] = True
+                at = self.within[self.up[at]]
         return k
 
+    def _settle(self) -> None:
+        """Drops what is named like boilerplate and isn't a wrapper of most of the page."""
+        n = len(self.tag)
+        held = [0] * n
+        for k, text in self.flow:
+            if text is not None:
+                held[k] += len(text.strip())
+        for k in range(n - 1, 0, -1):
+            held[self.up[k]] += held[k]
+        for k in range(1, n):
+            lost = k in self.doubtful and not (self.doubtful[k] and 2 * held[k] > held[0])
+            self.drop[k] = self.drop[k] or self.drop[self.up[k]] or lost
+
     def _read(self, html: str) -> None:
         at, done, end = 0, 0, len(html)
         flow, tags, up = self.flow, self.tag, self.up

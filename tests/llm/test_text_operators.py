@@ -199,6 +199,27 @@ def test_main_text():
     assert html_text.main_text(deep) == "text, deep"
 
 
+PARAGRAPH = "<p>One long paragraph of the article, with commas, and with words enough to count as text.</p>"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "long-form", "content sidebar-right", "page search-results", "widget"])
+def test_wrappers_named_like_boilerplate_stay(name):
+    html = f'<div class="{name}"><nav>menu</nav><div><h1>Head</h1>{PARAGRAPH * 3}</div><div class="sidebar">side</div></div>'
+    assert html_text.main_text(html) == " ".join(["Head"] + [PARAGRAPH[3:-4]] * 3)
+
+
+@pytest.mark.parametrize("name", ["adBox", "ADBox", "adbox", "siteNav", "cookieBanner", "topnav", "userComments", "comments-area", "cookiebar", "main_menu"])
+def test_boilerplate_by_compound_names_goes(name):
+    html = f'<div class="content"><h1>Head</h1>{PARAGRAPH}<div class="{name}">Junk, here, is junk.</div>{PARAGRAPH}</div>'
+    assert html_text.main_text(html) == " ".join(["Head"] + [PARAGRAPH[3:-4]] * 2)
+
+
+def test_comments_longer_than_the_article_go():
+    replies = f'<article class="comment"><h1>Junk</h1>{PARAGRAPH * 6}</article>'
+    for html in (f"<article><h1>Head</h1>{PARAGRAPH}</article><ol class=comment-list><li>{replies}</ol>", f"<article><h1>Head</h1>{PARAGRAPH}<section id=comments>{replies}</section></article>"):
+        assert html_text.main_text(html) == "Head " + PARAGRAPH[3:-4]
+
+
 def test_pages_of_the_table(spark, small):
     def by_hand(x):
         body = re.search(r"(?s)<article>(.*?)(</article>|\Z)", x)[1]
