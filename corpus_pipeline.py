@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup, pii, quality, simhash
+from parley.llm import exact_dedup, near_text, pii, quality
 from parley.llm.common import materialise, table
 from parley.llm.packing import pack
 
@@ -25,8 +25,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each SimHash component."""
-    return simhash.keep_one(docs)
+    """Leaves one document of each component of texts whose five-word shingles are 0.8 alike."""
+    return near_text.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

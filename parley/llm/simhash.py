@@ -161,7 +161,11 @@ def _link_runs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp), enough to connect all that link."""
-    keys = materialise(fps.select("fp").mapInArrow(_emit_keys, "key int, fp long"))
+    return linked(materialise(fps.select("fp").mapInArrow(_emit_keys, "key int, fp long")), distance)
+
+
+def linked(keys: DataFrame, distance: int) -> DataFrame:
+    """The same among fingerprints that share a key, given as distinct rows of key (int) and fp."""
     crowded = keys.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = keys.withColumn("pair", F.lit(0))
     crowded = materialise(crowded)

@@ -2,8 +2,8 @@ import random
 import re
 
 import corpus_pipeline
-from parley.llm import pii, simhash
-from tests.llm.support import empty_docs, odd_docs, rows_of
+from parley.llm import near_text, pii, simhash
+from tests.llm.support import empty_docs, odd_docs, rows_of, shared
 from tests.llm.test_dedup import exact_by_hand, near_by_hand
 from tests.llm.test_text_operators import measured_by_hand
 from tests.llm.test_token_files import check_packing
@@ -37,3 +37,53 @@ def test_near_copies_go_and_clean_documents_stay(spark, small):
     rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, re.sub(r"\S+$", "changed", t)) for k, t in enumerate(base[:10])]
     left = {r.doc_id for r in simhash.keep_one(odd_docs(spark, rows)).collect()}
     assert left == set(range(30))
+
+
+def shingle_sets(docs):
+    out = []
+    for _, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        k = min(5, len(words))
+        out.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+    return out
+
+
+def alike_by_hand(docs):
+    """Places of the documents that stay where five-word shingles of Jaccard similarity 0.8 link."""
+    sets = shingle_sets(docs)
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    best = {}
+    for k, r in enumerate(shared(links, len(docs))):
+        best[r] = min(best.get(r, k), k, key=lambda k: (docs[k][0] is None, docs[k][0] or 0))
+    return set(best.values())
+
+
+def test_near_stage_drops_what_is_four_fifths_alike(spark, small):
+    docs = [(r["doc_id"], r["text"]) for r in rows_of(small, "documents")]
+    docs = [d for d, e in zip(docs, exact_by_hand(docs)) if e[3]]
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd_docs(spark, docs), small).collect()}
+    want = {docs[k][0] for k in alike_by_hand(docs)}
+    assert left == want and 1 in left and 177 not in left  # 0.83 alike, nine bits apart
+
+
+def test_near_stage_at_the_limit_and_over_blocks(spark, small, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for m in range(6):
+            words = list(base)
+            for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 6])):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * k + m, " ".join(words)))
+    for block in (near_text.BLOCK, 2):
+        monkeypatch.setattr(near_text, "BLOCK", block)
+        left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd_docs(spark, rows), small).collect()}
+        assert left == {rows[k][0] for k in alike_by_hand(rows)} and len(left) < len(rows)
+
+
+def test_near_stage_leaves_one_row_of_repeated_ids(spark, small):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text), (2, text + " end"), (2, "quite another text"), (3, "one more text"), (3, "one more text"), (None, "one more text"), (4, ""), (5, None)]
+    left = corpus_pipeline.near_duplicates(spark, odd_docs(spark, rows), small).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, text), (2, "quite another text"), (3, "one more text"), (4, "")]
