@@ -10,6 +10,8 @@ card   12 to 19 digits that pass Luhn        phone  plus sign, 9 to 15 digits wi
 Added by the method: secret (values after a password, token or key cue, access key ids), account (IBAN after its cue with
 valid check digits, social security numbers after theirs), login (user:password before the host of an address).
 
+Secrets and logins have no greatest length: they reach to the first delimiter.
+
 Positions are code points, ends exclusive. Null text counts as empty and has no spans; null or repeated doc_ids are
 searched row by row; an empty table gives no rows; extra columns are ignored by ``find_all`` and kept by ``mask``.
 """
@@ -37,10 +39,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-VALUE = re.compile(r"[\"']? {0,3}[=:] {0,3}[\"']?([^\s\"',;]{8,256})")
+SET = re.compile(r"[\"']? {0,3}[=:] {0,3}[\"']?")
+VALUE = re.compile(r"[^\s\"',;]{8,}+")
 IBAN = re.compile(r"[ :.#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 SSN = re.compile(r"[ :.#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-LOGIN = re.compile(r"([^\s/?#@:]{1,256}:[^\s/?#@]{1,256})@")
+LOGIN = re.compile(r"([^\s/?#@:]++:[^\s/?#@]++)@")
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -80,7 +83,8 @@ def iban_valid(number: str) -> bool:
 def find(text: str) -> list[Span]:
     """All spans of a text in order of start, then kind."""
     spans: list[Span] = []
-    email_done = ip_done = card_done = phone_done = 0
+    email_done = ip_done = card_done = phone_done = value_done = 0
+    last_digit = -1
     for last, (what, size) in automaton().iter(text):
         at = last + 1 - size
         if what == "digit":
@@ -112,9 +116,14 @@ def find(text: str) -> list[Span]:
                 if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                     spans.append((at, 3, phone_done))
         elif what == "cue":
-            m = VALUE.match(text, last + 1)
-            if m and any(map(str.isdigit, m[1])):
-                spans.append((m.start(1), 4, m.end(1)))
+            if m := SET.match(text, last + 1):
+                start = m.end()
+                # A cue inside a value shares its end, so no value is scanned twice.
+                if start >= value_done and (m := VALUE.match(text, start)):
+                    value_done = m.end()
+                    last_digit = next((k for k in range(value_done - 1, start - 1, -1) if text[k].isdigit()), -1)
+                if start + 8 <= value_done and start <= last_digit:
+                    spans.append((start, 4, value_done))
         elif what == "key":
             if (at == 0 or not text[at - 1].isalnum()) and (m := ACCESS_KEY.match(text, at)):
                 spans.append((at, 4, m.end()))

@@ -102,6 +102,17 @@ def test_added_spans_and_masks():
     assert pii.masked(t, pii.find(t)) == "a [EMAIL], f"
 
 
+def test_long_secrets_and_logins_are_taken_whole():
+    value = "eyJ" + "a1B-" * 5000
+    for t, kind, want in [(f"token: {value} x", "secret", value), (f'api_key="{value}", x', "secret", value), (f"https://{value}:{value}@host/x", "login", f"{value}:{value}")]:
+        assert [t[a:b] for a, k, b in pii.find(t) if pii.KINDS[k] == kind] == [want]
+        assert value[-40:] not in pii.masked(t, pii.find(t))
+    nested = 'password=my_long_token="abc12345" token=secret=abc123456'
+    assert [nested[a:b] for a, k, b in pii.find(nested)] == ["abc12345", "secret=abc123456", "abc123456"]
+    many = "token=" * 100_000 + "1" * 8
+    assert len(pii.find(many)) == 100_000  # each shares its end; quadratic scans would not end in time
+
+
 def test_pii_of_odd_rows(spark):
     got = {(r.doc_id, r.spans) for r in pii.find_all(odd_docs(spark)).collect()}
     assert got == {(i, pii.written(pii.find(t or ""))) for i, t in TEXTS}
