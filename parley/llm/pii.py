@@ -45,6 +45,16 @@ IBAN = re.compile(r"[ :.#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z
 SSN = re.compile(r"[ :.#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 LOGIN = re.compile(r"([^\s/?#@:]++:[^\s/?#@]++)@")
 
+#: Characters of an IBAN by its country.
+IBAN_SIZES = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+        "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+        "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 #: Start, kind's place in KINDS, end.
@@ -80,6 +90,14 @@ def iban_valid(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_size(run: str) -> int:
+    """How much of a run of words is a valid IBAN: the words of its country's length, else as many as are valid; or 0."""
+    ends = [k for k in range(len(run), 0, -1) if k == len(run) or run[k] == " "]
+    valid = [k for k in ends if len(n := run[:k].replace(" ", "")) >= 15 and iban_valid(n)]
+    fit = [k for k in valid if len(run[:k].replace(" ", "")) == IBAN_SIZES.get(run[:2])]
+    return (fit or valid or [0])[0]
+
+
 def find(text: str) -> list[Span]:
     """All spans of a text in order of start, then kind."""
     spans: list[Span] = []
@@ -128,8 +146,8 @@ def find(text: str) -> list[Span]:
             if (at == 0 or not text[at - 1].isalnum()) and (m := ACCESS_KEY.match(text, at)):
                 spans.append((at, 4, m.end()))
         elif what == "iban":
-            if (m := IBAN.match(text, last + 1)) and iban_valid(m[1].replace(" ", "")):
-                spans.append((m.start(1), 5, m.end(1)))
+            if (m := IBAN.match(text, last + 1)) and (n := iban_size(m[1])):
+                spans.append((m.start(1), 5, m.start(1) + n))
         elif what == "ssn":
             if m := SSN.match(text, last + 1):
                 spans.append((m.start(1), 5, m.end(1)))

@@ -113,6 +113,13 @@ def test_long_secrets_and_logins_are_taken_whole():
     assert len(pii.find(many)) == 100_000  # each shares its end; quadratic scans would not end in time
 
 
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC: COBADEFFXXX", " EUR 50", " EUR 50 PAID", ", ok", " Please pay", " A B C D E F G H", " COBADEFFXXXCOBADEFFXXX"])
+def test_ibans_end_before_what_follows(number, after):
+    text = f"IBAN {number}{after}"
+    assert [text[a:b] for a, k, b in pii.find(text) if pii.KINDS[k] == "account"] == [number]
+
+
 def test_pii_of_odd_rows(spark):
     got = {(r.doc_id, r.spans) for r in pii.find_all(odd_docs(spark)).collect()}
     assert got == {(i, pii.written(pii.find(t or ""))) for i, t in TEXTS}
