@@ -160,7 +160,11 @@ def _link_runs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp), enough to connect all that link."""
+    """u, v: links between distinct fingerprints (column fp), enough to connect all that link.
+
+    Keys are only sure to be shared up to DISTANCE differing bits, so a larger distance is refused."""
+    if distance > DISTANCE:
+        raise ValueError(f"distance {distance}: the keys cover {DISTANCE} differing bits at most")
     return linked(materialise(fps.select("fp").mapInArrow(_emit_keys, "key int, fp long")), distance)
 
 

@@ -127,6 +127,13 @@ def test_links_connect_what_links(spark, monkeypatch, block):
     assert shared(found, len(fps)) == want
 
 
+def test_a_distance_beyond_the_keys_is_refused(spark):
+    frame = spark.createDataFrame([(0,), (31,)], "fp long")
+    with pytest.raises(ValueError):
+        simhash.links(frame, 5)
+    assert simhash.links(frame, 3).count() == 0
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
