@@ -5,8 +5,8 @@ shingle, one without words is the empty shingle; null counts as empty.
 
 Candidates: BANDS keys of ROWS MinHash values each, and a sketch of 64 bits, one of each of the first 64 values. Texts
 that share a key and differ in SKETCH bits or fewer are candidates, dealt out as in ``simhash.linked``. At a similarity of
-0.8 the values of a key agree with probability 0.8^4 and no key with 5e-8; a bit of the sketch differs with 0.1 and over
-20 of them with some 2e-6. Both fall steeply above 0.8.
+0.8 the values of a key agree with probability 0.8^4 and no key with 5e-8, were they independent; a bit of the sketch differs with 0.1 and over
+20 of them with 6e-7. Both fall steeply above 0.8.
 
 Every candidate is verified: the texts of a candidate component meet, dealt out by pairs of blocks of BLOCK texts, and
 only links whose exact similarity is 0.8 or more count. Of each component of such links one row stays, that of the
