@@ -1,17 +1,29 @@
-"""Quality rules on repetition, from a suffix array of each text's words.
+"""Quality rules on repetition, from a suffix array of each text's characters.
 
-A batch of texts is one sequence of symbols, a symbol for each word of each text, so nothing repeats across texts. Prefix
-doubling ranks its suffixes; after a round only ties go on, so text that does not repeat costs a round or two. The ranks
-of every round also give the longest common prefix of neighbours in the suffix array. A suffix's longest repeat is the
-longer of its two common prefixes; where the one before it in the text is longer by exactly one the repeat is the rest
-of that one and not maximal to the left. The union of repeats of MIN_REPEAT words or more is the repeated part; a text is
-kept if that part is at most MAX_COVERED of its words, or under MIN_COVERED words, and its longest repeat at most
-MAX_LONGEST words.
+Base rules: under MIN_WORDS words, or over MAX_REPEATED percent of them in three-word windows found twice or more. Texts
+that fail them are not kept, whatever the rest of their measures; the method judges all others.
 
-Base rules: under MIN_WORDS words, or over MAX_REPEATED percent of them in three-word windows found twice or more.
+The method: a batch of texts, runs of white space as one space, is one sequence of characters; a text's number leads the
+sort key of its suffixes, so nothing repeats across texts. Prefix doubling ranks the suffixes, a word of packed characters
+first; after a round only ties go on. The ranks of every round also give the longest common prefix of neighbours in the
+suffix array. A suffix's longest repeat is the longer of its two common prefixes; where the one before it in the text is
+longer by exactly one the repeat is the rest of that one and not maximal to the left. Maximal repeats that are longer than
+chance count, and the union of their spans is the repeated part. A text is rejected if that part is over MAX_COVERED of
+its characters or its longest repeat over MAX_LONGEST characters.
+
+Longer than chance: the longest repeat of a random text of n characters is about 2 log2(n) / h, h being its entropy a
+character in bits. No prose has under two bits, so repeats longer than log2(n) are not chance at any n, and one share
+holds for texts of every length. MAX_COVERED is a fifth, the share from which published rules for training data (Rae et
+al. 2021) hold a text's commonest word pair against it. MAX_LONGEST is the 50 words of five letters from which published substring
+deduplication (Lee et al. 2022) holds a repeat for a copy. Ranking stops beyond MAX_LONGEST characters: longer repeats
+reject a text whatever their length, and longest_repeat says no more than that they are longer.
+
+A frame is not held against a text: lines that open it and close it alike, a letterhead or a licence line, count once if
+they are at most a quarter of it and MAX_LONGEST characters. A third copy counts as a repeat.
 
 Null text has no words and fails; so does one of white space only. Null or repeated doc_ids are judged row by row, an
-empty table gives no rows, extra columns are ignored by ``judge`` and kept by ``keep_good``.
+empty table gives no rows, extra columns are ignored by ``judge`` and kept by ``keep_good``. covered_chars and
+longest_repeat are null where a base rule failed. A text is judged whole by one task, at some 80 bytes a character.
 """
 
 from __future__ import annotations
@@ -29,47 +41,50 @@ from parley.llm.common import slices
 MIN_WORDS = 50
 MAX_REPEATED = 50
 WINDOW = 3
-#: Repeats of so many words count for the covered part; shorter ones are phrases of a language.
-MIN_REPEAT = 8
-#: Must be under MAX_REPEATED percent: the covered part lies within the three-word windows, so at that share it never decides.
-MAX_COVERED = 0.4
-#: A smaller covered part is a sentence found twice, as a short text's first and last line, and rejects nothing.
-MIN_COVERED = 64
-MAX_LONGEST = 100
+MAX_COVERED = 0.2
+MAX_LONGEST = 250
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 SLICE = 1 << 20
 
-JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
+JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_chars long, longest_repeat long, base_failed boolean, kept boolean"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array of a sequence and, for k = 0, 1, ..., the rank of each suffix by its first 2^k symbols.
+def first_keys(symbols: np.ndarray, doc: np.ndarray, left: np.ndarray, most: int) -> tuple[np.ndarray, int, int]:
+    """The number of each position's text and the symbols (1 and up) from there, as many as fit into a word and most at
+    most; how many, and the bits of one. Places past the end of the text are 0."""
+    bits = int(symbols.max(initial=1)).bit_length()
+    width = max(min((63 - int(doc[-1]).bit_length()) // bits, most), 1)
+    keys = doc.astype(np.int64)
+    for k in range(width):
+        keys <<= bits
+        keys[: len(symbols) - k] |= np.where(left[: len(symbols) - k] > k, symbols[k:], 0)
+    return keys, width, bits
 
-    Ties of the last ranks are suffixes that differ only past the end of the sequence; they are broken by position.
-    """
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
+
+def suffix_ranks(keys: np.ndarray, width: int, left: np.ndarray, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffix array, and for k = 0, 1, ... the rank of each suffix by its first width * 2^k symbols, until they are
+    top or all ranks differ. Suffixes alike that far keep the order in which they were sorted."""
+    n = len(keys)
+    order = np.argsort(keys)
     new = np.ones(n, bool)
-    new[1:] = symbols[order[1:]] != symbols[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new[1:] = np.diff(keys[order]) != 0
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     levels = [rank]
-    width = 1
-    while width < n:
+    while width < top:
         # Members of a class share a rank, the place of its first member; only classes of several are sorted again.
         tied = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(tied):
             break
         at = order[tied]
-        ahead = at + width
-        nxt = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        head = rank[at]
-        again = np.lexsort((nxt, head))
-        at, nxt, head = at[again], nxt[again], head[again]
-        order[tied] = at
+        ahead = np.where(left[at] > width, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        both = rank[at].astype(np.int64) << 32 | ahead
+        again = np.argsort(both)
+        order[tied] = at = at[again]
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = (head[1:] != head[:-1]) | (nxt[1:] != nxt[:-1])
+        fresh[1:] = np.diff(both[again]) != 0
         new[tied] = fresh
         rank = rank.copy()
         rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
@@ -78,31 +93,34 @@ def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return order, levels
 
 
-def neighbour_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """The common prefix of each suffix of the array and the one after it."""
-    n = len(order)
-    a, b = order[:-1].copy(), order[1:].copy()
-    length = np.zeros(max(n - 1, 0), np.int64)
+def longest_repeats(symbols: np.ndarray, doc: np.ndarray, left: np.ndarray, least: int, top: int) -> np.ndarray:
+    """For each position, how far the text from it is found elsewhere in the same text too. Lengths under least may be
+    told as 0, those over top too short, but over top.
+
+    symbols: 1 and up; doc: number of each position's text, ascending; left: positions up to its end.
+    """
+    n = len(symbols)
+    found = np.zeros(n, np.int64)
+    if n < 2:
+        return found
+    keys, width, bits = first_keys(symbols, doc, left, least)
+    order, levels = suffix_ranks(keys, width, left, top + 1)
+    # Common prefixes of neighbours that share their first word; the others' are shorter than one.
+    near = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]])
+    first, second = order[near], order[near + 1]
+    a, b = first.copy(), second.copy()
     for k in range(len(levels) - 1, -1, -1):
         rank = levels[k]
-        inside = (a < n) & (b < n)
-        same = np.zeros(len(length), bool)
-        same[inside] = rank[a[inside]] == rank[b[inside]]
-        # Equal ranks at the last level may also mean that both run off the end together, which distinct starts cannot.
-        step = same.astype(np.int64) << k
-        a, b, length = a + step, b + step, length + step
-    return length
-
-
-def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For each position, the length of the longest run from it that occurs elsewhere too."""
-    if len(symbols) < 2:
-        return np.zeros(len(symbols), np.int64)
-    order, levels = suffix_ranks(symbols)
-    common = neighbour_prefixes(order, levels)
-    found = np.zeros(len(symbols), np.int64)
-    found[order[:-1]] = common
-    found[order[1:]] = np.maximum(found[order[1:]], common)
+        inside = np.flatnonzero((a < n) & (b < n))
+        same = inside[rank[a[inside]] == rank[b[inside]]]
+        a[same] += width << k
+        b[same] += width << k
+    inside = np.flatnonzero((a < n) & (b < n))
+    differ = keys[a[inside]] ^ keys[b[inside]]
+    for k in range(1, width + 1):
+        a[inside[differ >> bits * (width - k) == 0]] += 1
+    np.maximum.at(found, first, a - first)
+    np.maximum.at(found, second, a - first)
     return found
 
 
@@ -114,8 +132,70 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def chance(n: np.ndarray) -> np.ndarray:
+    """The longest repeat that a text of n characters may have by chance."""
+    return np.log2(np.maximum(n, 2))
+
+
+def without_frame(text: str, most: int = MAX_LONGEST) -> str:
+    """The text without the lines that close it as others opened it, if they are a quarter of it and most at most."""
+    text = text.strip(WHITE)
+    lines = text.split("\n")
+    fits, size = 0, 0
+    for k in range(1, len(lines) // 2 + 1):
+        size += len(lines[k - 1]) + 1
+        if 4 * (size - 1) > len(text) or size - 1 > most:
+            break
+        if lines[:k] == lines[-k:]:
+            fits = k
+    return "\n".join(lines[: len(lines) - fits])
+
+
+def repetition(rows: list[str], max_longest: int = MAX_LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of each text, runs of white space as one, without its frame; how many lie in repeats longer than chance;
+    and the longest of these, max_longest + 1 standing for any longer one."""
+    # Bytes split at ASCII white space, strings at more.
+    flat = [b" ".join(without_frame(t, max_longest).encode().split()).decode() for t in rows]
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    n = int(sizes.sum())
+    doc = np.repeat(np.arange(len(flat)), sizes)
+    if not n:
+        return sizes, sizes, sizes
+    ends = np.cumsum(sizes)
+    at = np.arange(n)
+    points = np.frombuffer("".join(flat).encode("utf-32-le"), "<u4")
+    symbols = np.cumsum(np.bincount(points) > 0)[points]
+    limits = np.floor(chance(sizes)).astype(np.int64) + 1
+    longest = longest_repeats(symbols, doc, ends[doc] - at, int(limits[sizes > 0].min()), max_longest)
+    before = np.concatenate([[0], longest[:-1]])
+    before[(ends - sizes)[sizes > 0]] = 0
+    counts = np.flatnonzero(longest >= limits[doc])
+    maximal = counts[before[counts] != longest[counts] + 1]
+    inside = covered(maximal, longest[maximal], n)
+    most = np.zeros(len(flat), np.int64)
+    np.maximum.at(most, doc[maximal], np.minimum(longest[maximal], max_longest + 1))
+    return sizes, np.bincount(doc[inside], minlength=len(flat)), most
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the distinct ones, and how often each of them occurs."""
+    _, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return number, counts
+
+
+def repeated_windows(symbols: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Positions at which a window starts that occurs twice or more."""
+    if len(symbols) < size:
+        return np.zeros(0, np.int64)
+    number, counts = ranked(symbols)
+    window = number
+    for k in range(1, size):
+        window, counts = ranked(window[: len(symbols) - k] << 32 | number[k:])
+    return np.flatnonzero(counts[window] > 1)
+
+
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
-    """The counts of each text of a column without nulls."""
+    """The base counts of each text of a column without nulls."""
     lists = pc.ascii_split_whitespace(column)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
@@ -124,37 +204,35 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[real]
     doc = doc[real]
     n_docs, n = len(column), len(doc)
-    n_words = np.bincount(doc, minlength=n_docs)
-    symbols = doc * (int(codes.max(initial=0)) + 1) + codes
-    longest = longest_repeats(symbols)
-    at = np.arange(n)
-    short = longest >= WINDOW
-    in_window = covered(at[short], np.full(int(short.sum()), WINDOW), n)
-    before = np.concatenate([[0], longest[:-1]])
-    maximal = (longest >= MIN_REPEAT) & (before != longest + 1)
-    in_repeat = covered(at[maximal], longest[maximal], n)
-    most = np.zeros(n_docs, np.int64)
-    np.maximum.at(most, doc, longest)
+    # A symbol for each word of each text: no window of one text is one of another, or crosses into it twice.
+    starts = repeated_windows(doc * (int(codes.max(initial=0)) + 1) + codes)
+    in_window = covered(starts, np.full(len(starts), WINDOW), n)
     rows = column.to_pylist()
     lines = [[x for x in t.split("\n") if x.strip(WHITE)] for t in rows]
     return {
-        "n_words": n_words,
+        "n_words": np.bincount(doc, minlength=n_docs),
         "word_chars": np.array([len(t) - sum(map(t.count, WHITE)) for t in rows], np.int64),
         "n_symbols": np.array([sum(map(t.count, SYMBOLS)) for t in rows], np.int64),
         "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
         "n_repeat_words": np.bincount(doc[in_window], minlength=n_docs),
-        "covered_words": np.bincount(doc[in_repeat], minlength=n_docs),
-        "longest_repeat": most,
     }
 
 
-def verdicts(column: pa.Array, max_covered: float, max_longest: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def verdicts(column: pa.Array, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray]:
     """The counts of each text, whether a base rule fails it, and whether it is kept."""
-    m = measure(pc.fill_null(column.cast(pa.string()), ""))
+    column = pc.fill_null(column.cast(pa.string()), "")
+    m = measure(column)
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
-    repetitive = (m["covered_words"] >= MIN_COVERED) & (m["covered_words"] > max_covered * m["n_words"])
-    kept = ~failed & ~repetitive & (m["longest_repeat"] <= max_longest)
-    return m, failed, kept
+    left = np.flatnonzero(~failed)
+    sizes, inside, most = repetition(column.take(pa.array(left)).to_pylist(), max_longest)
+    kept = np.zeros(len(column), bool)
+    kept[left] = (inside <= max_covered * sizes) & (most <= max_longest)
+    out = {k: pa.array(v.astype(np.int64)) for k, v in m.items()}
+    for name, values in (("covered_chars", inside), ("longest_repeat", most)):
+        whole = np.zeros(len(column), np.int64)
+        whole[left] = values
+        out[name] = pa.array(whole, mask=failed)
+    return out, failed, kept
 
 
 def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
@@ -164,8 +242,7 @@ def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int =
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 m, failed, kept = verdicts(part.column("text"), max_covered, max_longest)
-                counts = [pa.array(x.astype(np.int64)) for x in m.values()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(failed), pa.array(kept)], ["doc_id", *m, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *m.values(), pa.array(failed), pa.array(kept)], ["doc_id", *m, "base_failed", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, JUDGED)

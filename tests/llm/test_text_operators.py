@@ -132,7 +132,30 @@ def test_pii_of_odd_rows(spark):
 # Quality
 
 
-def measured_by_hand(t):
+def frame_by_hand(t):
+    """The text without the lines that close it as others open it: a quarter of it and 250 characters at most."""
+    lines = re.sub(r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", t).split("\n")
+    whole = "\n".join(lines)
+    fits = [k for k in range(1, len(lines) // 2 + 1) if lines[:k] == lines[-k:] and len("\n".join(lines[:k])) <= min(len(whole) / 4, 250)]
+    return "\n".join(lines[: len(lines) - max(fits, default=0)])
+
+
+def repetition_by_hand(t):
+    """Characters, those in repeats longer than the binary logarithm of their number, and the longest repeat."""
+    t = " ".join(re.findall(r"[^\x20\x09-\x0D]+", frame_by_hand(t)))
+    n = len(t)
+    inside, most = [False] * n, 0
+    for i in range(n):
+        k = 0
+        while i + k < n and (t.find(t[i : i + k + 1]) < i or t.find(t[i : i + k + 1], i + 1) >= 0):
+            k += 1
+        if 2**k > n:
+            inside[i : i + k] = [True] * k
+            most = max(most, k)
+    return n, sum(inside), min(most, 251)
+
+
+def base_by_hand(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     n = len(words)
     windows = collections.Counter(zip(words, words[1:], words[2:]))
@@ -145,51 +168,81 @@ def measured_by_hand(t):
         if re.search(r"[^\x20\x09-\x0D]", line):
             dup += line in seen
             seen.add(line)
-    longest = [0] * n
-    for i in range(n):
-        for j in range(i):
-            k = 0
-            while i + k < n and words[i + k] == words[j + k]:
-                k += 1
-            longest[i], longest[j] = max(longest[i], k), max(longest[j], k)
-    covered = [False] * n
-    for i, k in enumerate(longest):
-        if k >= quality.MIN_REPEAT:
-            covered[i : i + k] = [True] * k
     failed = n < 50 or 100 * sum(in_window) > 50 * n
-    kept = not failed and (sum(covered) < 64 or sum(covered) <= 0.4 * n) and max(longest, default=0) <= 100
-    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(in_window), sum(covered), max(longest, default=0), failed, kept
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(in_window), failed
+
+
+def measured_by_hand(t):
+    *base, failed = base_by_hand(t)
+    if failed:
+        return *base, None, None, True, False
+    n, inside, most = repetition_by_hand(t)
+    return *base, inside, most, False, 5 * inside <= n and most <= 250
+
+
+def judged(texts):
+    m, failed, kept = quality.verdicts(pa.array(texts, pa.string()))
+    return list(zip(*(v.to_pylist() for v in m.values()), failed.tolist(), kept.tolist()))
 
 
-def test_quality_like_brute_force():
+def test_quality_like_brute_force(small):
     rng = random.Random(8)
     texts = [t if t is None or len(t) < 5000 else t[:600] for _, t in TEXTS]
     for _ in range(150):
         few = [rng.choice(["x", "y y", "z\n", "a b c", "#|", "日", "q\tr"]) for _ in range(rng.randint(1, 7))] + [str(rng.random()) for _ in range(rng.randint(0, 60))]
         texts.append(" ".join(rng.choice(few) for _ in range(rng.randint(0, 120))))
+    for _ in range(60):  # few symbols, so that repeats are long by chance; binary words that the base rules pass
+        texts.append(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(6, 14))) for _ in range(rng.randint(50, 90))))
+    for _ in range(40):
+        part = " ".join(f"{rng.randrange(10**4)}" for _ in range(rng.randint(1, 40)))
+        rest = [" ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randint(5, 90))) for _ in range(3)]
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join([part, rest[0], rng.choice([part, rest[2]]), rest[1], part]))
     passage = " ".join(f"w{k}" for k in range(120))
     texts += [passage, f"{passage} {passage}", f"{passage} x {passage} " + " ".join(f"v{k}" for k in range(900))]
-    m, failed, kept = quality.verdicts(pa.array(texts, pa.string()), quality.MAX_COVERED, quality.MAX_LONGEST)
-    got = list(zip(*(v.tolist() for v in m.values()), failed.tolist(), kept.tolist()))
-    for t, g in zip(texts, got):
+    texts += [r["text"] for r in rows_of(small, "documents") if len(r["text"] or "") < 2500]
+    for t, g in zip(texts, judged(texts)):
         assert g == measured_by_hand(t), t
 
 
-def test_each_repetition_limit_decides():
-    def words(name, n):
-        return " ".join(f"{name}{k}" for k in range(n))
-
-    line, part, long = words("l", 13), words("p", 45), words("q", 101)
-    texts = [
-        f"{line}\n{words('a', 30)}\n{line}",  # 26 of 56 words: a short text between two lines of boilerplate
-        f"{part} {words('a', 60)} {part} {words('b', 50)}",  # 90 of 200 words
-        f"{part} {words('a', 160)} {part} {words('b', 50)}",  # 90 of 300 words
-        f"{long} {words('a', 900)} {long}",
-        f"{words('q', 100)} {words('a', 900)} {words('q', 100)}",
-    ]
-    m, failed, kept = quality.verdicts(pa.array(texts), quality.MAX_COVERED, quality.MAX_LONGEST)
-    assert not failed.any() and m["covered_words"].tolist() == [26, 90, 90, 202, 200]
-    assert kept.tolist() == [True, False, True, False, True]
+def distinct_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [60, 120, 250, 500, 1000, 4000, 20_000])
+def test_the_method_decides_at_every_length(n):
+    """A passage in two copies that make a quarter, or a tenth, of a text that the base rules pass."""
+    rng = random.Random(n)
+    rest = [distinct_words(rng, 3 * n // 8) for _ in range(2)]
+    passage = distinct_words(rng, n // 8)
+    small_one = " ".join(passage.split()[: min(n // 20, 30)])
+    got = judged([f"{rest[0]} {p} {rest[1]} {p} end" for p in (passage, small_one)])
+    assert [(r[-2], r[-1]) for r in got] == [(False, False), (False, True)]
+
+
+def test_the_longest_repeat_decides():
+    rng = random.Random(1)
+    rest, passage = distinct_words(rng, 2000), distinct_words(rng, 60)
+    got = judged([f"{rest} {passage[:n]}#{rest[:9]} {passage[:n]}" for n in (248, 260)])
+    assert [(r[-3], r[-1]) for r in got] == [(248, True), (251, False)]  # the space before it belongs to it
+
+
+def test_lines_that_open_and_close_a_text_count_once():
+    rng = random.Random(4)
+    line, body = "A first line of some boilerplate, and\na second one.", distinct_words(rng, 50)
+    texts = [f"{line}\n{body}\n{line}", f"{line}\n{body}\n{line}\n{body[::-1]}\n{line}", f"{line} {body} {line}"]
+    assert [(r[-2], r[-1]) for r in judged(texts)] == [(False, True), (False, False), (False, False)]
+
+
+def test_the_method_rejects_what_the_base_rules_pass(spark):
+    """On all rows of the larger table, at the registered parameters."""
+    rows = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    found = {(r.base_failed, r.kept): r["count"] for r in rows.groupBy("base_failed", "kept").count().collect()}
+    assert found[False, False] >= 5 and found[False, True] > 100 * found[False, False] and (True, True) not in found
+
+
+def test_quality_of_long_texts_without_words():
+    got = judged(["a" * 3_000_000, "ab " * 500_000, "\n" * 1_000_000 + "x"])
+    assert [r[0] for r in got] == [1, 500_000, 1] and not any(r[-1] for r in got)
 
 
 def test_quality_of_odd_rows(spark):
