@@ -228,8 +228,9 @@ def test_the_longest_repeat_decides():
 
 def test_lines_that_open_and_close_a_text_count_once():
     rng = random.Random(4)
-    line, body = "A first line of some boilerplate, and\na second one.", distinct_words(rng, 50)
-    texts = [f"{line}\n{body}\n{line}", f"{line}\n{body}\n{line}\n{body[::-1]}\n{line}", f"{line} {body} {line}"]
+    line = "A first line of some boilerplate, as sites have it above and below, and\na second one."
+    body, more = distinct_words(rng, 50), distinct_words(rng, 20)
+    texts = [f"{line}\n{body}\n{line}", f"{line}\n{body}\n{line}\n{more}\n{line}", f"{line} {body} {line}"]
     assert [(r[-2], r[-1]) for r in judged(texts)] == [(False, True), (False, False), (False, False)]
 
 
