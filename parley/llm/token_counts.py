@@ -4,9 +4,15 @@ A ledger is a folder with one small table a batch: additive changes of documents
 tokenizer version. Inserts count plus, deletes minus, a revised count its difference; a document that moves to another
 source, language or version is a delete there and an insert here. Totals are the sums over all batches.
 
-A batch is committed once: its table is written whole, and only a finished one (Spark's success mark) counts, so a batch
-that failed half-way is written again and one that is sent again changes nothing. Batches of different names may be
-committed at once and in any order. ``compact`` folds batches into one and keeps their names.
+A batch is committed once. Its table is written whole under a name of its own; then a marker, named by the batch alone and
+naming the table, is put in place by one step that fails if the marker is there. Of senders of one batch, at once or
+again, one wins and the others' tables count for nothing, as does one that broke off. Batches may be committed at once
+and in any order. ``compact`` folds batches into one table, by numbered folds that are put in place likewise, so of two
+that run at once one wins; readers see the state before or after. Nothing is deleted before ``vacuum``, which removes
+tables that no longer count and are older than a given age.
+
+The one step is a hard link on a file system of the machine or of its network, elsewhere a rename that refuses an
+existing target, as HDFS has it; a store without either cannot hold a ledger that several senders write to at once.
 
 Counts are summed in each task before anything is shuffled, so a source that holds most rows costs a row a task. Null
 source or language are groups of their own; null text has no tokens but is a document; repeated rows count each time; an
@@ -15,9 +21,15 @@ empty batch commits and changes nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,58 +94,103 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.store = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.store.listStatus(path)) if self.store.exists(path) else []
+
+    def _read(self, name: str) -> dict:
+        stream = self.store.open(self._path(name))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _claim(self, name: str, record: dict) -> bool:
+        """Put a record in place under a name; False if the name is taken, whoever took it."""
+        draft = f"drafts/{uuid.uuid4().hex}"
+        out = self.store.create(self._path(draft), False)
+        out.write(bytearray(json.dumps(record).encode()))
+        out.close()
+        self.store.mkdirs(self._path(name).getParent())
+        try:
+            if self.store.getScheme() == "file":
+                os.link(*(self.store.makeQualified(self._path(x)).toUri().getPath() for x in (draft, name)))
+            else:
+                kind = self.jvm.org.apache.hadoop.fs.Options.Rename
+                target = self.store.makeQualified(self._path(name))
+                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf)
+                context.rename(self.store.makeQualified(self._path(draft)), target, self.spark._sc._gateway.new_array(kind, 0))
+            return True
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            self.store.delete(self._path(draft), False)
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+    def _write(self, deltas: DataFrame) -> str:
+        """The sums of deltas as a table of its own; its name."""
+        name = f"tables/{uuid.uuid4().hex}"
+        summed = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        summed.write.parquet(f"{self.folder}/{name}")
+        return name
 
-    def _store(self):
-        return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _state(self) -> tuple[int, dict, dict[str, dict]]:
+        """The number of the last fold, that fold, and the markers of batches that aren't in it."""
+        folds = self._names("folds")
+        fold = self._read(f"folds/{folds[-1]}") if folds else {"tables": [], "batches": {}}
+        open_ = [n for n in self._names("batches") if n not in fold["batches"]]
+        return len(folds), fold, {n: self._read(f"batches/{n}") for n in open_}
 
-    def _finished(self, path: str) -> bool:
-        return self._store().exists(self._path(f"{path}/_SUCCESS"))
+    def _changes(self, fold: dict, markers: dict[str, dict]) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
+        tables = fold["tables"] + [m["table"] for m in markers.values()]
+        if not tables:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{t}" for t in tables))
 
     def batches(self) -> list[str]:
         """Names of committed batches, those that were folded too."""
-        return sorted(n for t in self._tables() for n in t.split("=", 1)[1].split("+"))
-
-    def _tables(self) -> list[str]:
-        store, root = self._store(), self._path(self.folder)
-        if not store.exists(root):
-            return []
-        names = [f.getPath().getName() for f in store.listStatus(root)]
-        done = [n for n in names if n.startswith("batch=") and self._finished(f"{self.folder}/{n}")]
-        folded = {p for n in done if "+" in n for p in n.split("=", 1)[1].split("+")}
-        return [n for n in done if "+" in n or n.split("=", 1)[1] not in folded]
+        _, fold, markers = self._state()
+        return sorted([*fold["batches"].values(), *(m["batch"] for m in markers.values())])
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch of deltas; False if it was there already."""
-        if not batch or set(batch) & set("/+="):
-            raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self.batches():
+        """Add a batch of deltas under any name that isn't empty; False if it was there already, or another sender won."""
+        if not batch:
+            raise ValueError("a batch has a name")
+        marker = f"batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+        if self.store.exists(self._path(marker)):
             return False
-        summed = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        return True
-
-    def _changes(self) -> DataFrame:
-        schema = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
-        tables = self._tables()
-        if not tables:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{t}" for t in tables))
+        return self._claim(marker, {"batch": batch, "table": self._write(deltas)})
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer; groups without any document or token are left out."""
-        summed = self._changes().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        _, fold, markers = self._state()
+        summed = self._changes(fold, markers).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return summed.where("n_docs != 0 or n_tokens != 0")
 
-    def compact(self) -> None:
-        """Fold all batches into one table, named by all of them; readers see the old ones until it is whole."""
-        old = self._tables()
-        if len(old) < 2:
-            return
-        name = "+".join(self.batches())
-        summed = self._changes().groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch={name}")
-        for t in old:
-            self._store().delete(self._path(f"{self.folder}/{t}"), True)
+    def compact(self) -> bool:
+        """Fold all batches into one table; False if there is nothing to fold or another fold came first."""
+        number, fold, markers = self._state()
+        if not markers:
+            return False
+        table = self._write(self._changes(fold, markers))
+        return self._claim(f"folds/{number + 1:012d}", {"tables": [table], "batches": fold["batches"] | {n: m["batch"] for n, m in markers.items()}})
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Delete tables that don't count and are older than hours, longer than any commit or read takes; how many went."""
+        _, fold, markers = self._state()
+        used = {*fold["tables"], *(m["table"] for m in markers.values())}
+        path = self._path("tables")
+        gone = 0
+        for f in self.store.listStatus(path) if self.store.exists(path) else ():
+            if f"tables/{f.getPath().getName()}" not in used and f.getModificationTime() <= 1000 * (time.time() - 3600 * hours):
+                self.store.delete(f.getPath(), True)
+                gone += 1
+        return gone
