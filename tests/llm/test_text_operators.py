@@ -3,6 +3,7 @@ import hashlib
 import html.parser
 import random
 import re
+import time
 import urllib.parse
 
 import duckdb
@@ -303,6 +304,82 @@ def test_pages_of_the_table(spark, small):
     assert got == {r["page_id"]: (by_hand(r["html"]), len(by_hand(r["html"]))) for r in rows_of(small, "pages")}
 
 
+@pytest.mark.parametrize("block", ['h2 class="section-header"', 'p class="related-work"', 'p class="cookie-recipe"', 'p class="notice-period"', 'h2 id="form-validation"', 'p id="search"', 'p title="a hidden gem"', "p data-x='class=ad hidden'", 'blockquote class="comment"'])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_blocks_of_the_article_are_not_judged_by_name(block, around):
+    html = f"<body><{around}><h1>Head</h1>{PARAGRAPH}<{block}>Short, one.</{block.split()[0]}>{PARAGRAPH}</{around}></body>"
+    assert html_text.main_text(html) == " ".join(["Head", PARAGRAPH[3:-4], "Short, one.", PARAGRAPH[3:-4]])
+
+
+def test_names_are_not_enough():
+    """Long sections and whole pages stay whatever they are called; hidden elements and menus go without a name."""
+    assert html_text.main_text('<div class="social-study"><h1>Head</h1><p>Some text.</p></div>') == "Head Some text."
+    assert html_text.main_text('<div class="comments"><p>Only words of readers.</p></div>') == "Only words of readers."
+    long = f'<section id="related-work">{PARAGRAPH * 3}</section>'
+    assert html_text.main_text(f"<article><h1>Head</h1>{PARAGRAPH * 2}{long}</article>").count("One long") == 5
+    junk = '<div hidden>no</div><div style="color:red; display: none">no</div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div class="share"><a href=3>Share</a></div><div class="related-posts"><a href=x>Other, one</a> <a href=y>Two</a></div>'
+    assert html_text.main_text(f"<div><h1>Head</h1>{PARAGRAPH}{junk}{PARAGRAPH}</div>") == " ".join(["Head"] + [PARAGRAPH[3:-4]] * 2)
+    sources = '<ul><li><a href=1>A title</a>, some journal of note, 2020<li><a href=2>Another</a>, the same journal, 2021</ul>'
+    assert html_text.main_text(f"<div><h1>Head</h1>{PARAGRAPH}{sources}</div>").endswith("A title, some journal of note, 2020 Another, the same journal, 2021")
+
+
+def without_articles(small):
+    return [re.sub(r"(</?)article>", r"\1div>", r["html"]) for r in rows_of(small, "pages")]
+
+
+def test_scores_by_hand(small):
+    """Every block climbs to all its ancestors and halves its points at each."""
+    for html in [*without_articles(small), BOILERPLATE, "<div>a,<div>b, c<p>" + "d" * 250 + "</div>, e</div>f"]:
+        page = html_text.Page(html)
+        points = [0.0] * len(page.tag)
+        for k, parts in page.own.items():
+            text = " ".join("".join(parts).split())
+            share, at = 1 + text.count(",") + min(len(text) // 100, 3), k
+            points[0] += 0 if k else share
+            while at:
+                at = page.up[at]
+                points[at] += share
+                share /= 2
+        linked, size = [0] * len(points), [0] * len(points)
+        for k, text in page.texts:
+            in_link, at = False, k
+            while at:
+                in_link |= page.tag[at] == "a"
+                at = page.up[at]
+            at = k if text and not page.drop[k] else None
+            while at is not None:
+                size[at] += len(text.strip())
+                linked[at] += len(text.strip()) * in_link
+                at = page.up[at] if at else None
+        want = [p * (1 - (a / b if b else 0)) * (0.25 if n else 1) for p, a, b, n in zip(points, linked, size, page.name)]
+        assert page.scores() == pytest.approx(want)
+
+
+def test_scores_decide(small, monkeypatch):
+    pages = without_articles(small)
+    plain = [html_text.main_text(x) for x in pages]
+    assert plain == [html_text.main_text(r["html"]) for r in rows_of(small, "pages")]
+    rng = random.Random(1)
+    monkeypatch.setattr(html_text.Page, "scores", lambda page: [rng.random() for _ in page.tag])
+    assert sum(a != html_text.main_text(x) for a, x in zip(plain, pages)) > len(pages) / 2
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<div>x</section>", "<b>x</i>", "<p><b>x<hr>", "<li>x<div>", "<span class=ad>x"])
+def test_deep_pages_take_linear_time(part):
+    began = time.process_time()
+    assert "x x x" in html_text.main_text(part * 20_000).replace("xxx", "x x x")
+    assert time.process_time() - began < 5
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None, 1, "a"), (1, "u", "", 2, "b"), (None, "v", "<p>x", 3, "c"), (2, "w", "<p>y</p>" * 50_000, 4, "d"), (2, "w", "\x00<p>&#0;&bogus;&amp;", 5, "e")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string").repartition(3)
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(frame).collect()), key=str)
+    want = [(i, u, html_text.main_text(h), len(html_text.main_text(h))) for i, u, h, *_ in rows]
+    assert got == sorted(want, key=str) and (2, "w", " ".join("y" * 50_000), 99_999) in got and (1, None, "", 0) in got
+    assert html_text.extract(frame.limit(0)).count() == 0
+
+
 PAGES = "page_id long, url string, html string, node string, host string, weight int"
 
 
