@@ -2,8 +2,8 @@
 
 Alternates two star contractions: every node hands its larger neighbours to its smallest one, then its smaller ones.
 Rounds grow with the logarithm of the number of nodes; each costs a few shuffles of the links left, and is written to
-the shared folder. No node's links are gathered: a minimum is taken with partial sums and joined back, and the join on a
-hub is one that Spark can split.
+the shared folder. No node's links are gathered: a minimum is taken with partial sums and joined back by ``lookup_join``,
+which takes a hub's links out of the shuffle by their number.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialise
+from parley.llm.common import lookup_join, materialise
 
 
 def _state(links: DataFrame) -> tuple:
@@ -19,6 +19,12 @@ def _state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _with_least(pairs: DataFrame, node: str, other: str, total: int) -> DataFrame:
+    """pairs and m, the least other end that each node has."""
+    facts = materialise(pairs.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n")))
+    return lookup_join(pairs, facts, node, "n", total)
+
+
 def components(links: DataFrame, u: str, v: str) -> DataFrame:
     """node, root: for every node of a link, the smallest node it reaches. Null ends and self-links are left out."""
     pairs = links.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("u"), F.col(v).alias("v"))
@@ -26,13 +32,11 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
     state = _state(stars)
     while state[0]:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large)
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
-        small = materialise(small)
+        least = _with_least(both, "u", "v", 2 * state[0])
+        large = materialise(least.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct())
+        lowest = _with_least(large, "a", "b", large.count())
+        small = lowest.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.where("b = m").select("a", "b"))
+        small = materialise(small.distinct())
         after = _state(small)
         stars = small
         if after == state:

@@ -46,24 +46,33 @@ BLOCK = 4096
 SMALL_RUN = 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles in turn, repeats included; none for a text without words."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -210,14 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rooted = components(links(distinct, distance), "u", "v")
     placed = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed)
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    facts = placed.join(named, "root").select("fp", "n", "component_id")
-    found = lookup_join(marked, facts, "fp", "n", total)
+    named = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    facts = lookup_join(placed, named, "root", "members", placed.count()).select("fp", "n", "component_id")
+    found = lookup_join(marked, materialise(facts), "fp", "n", total)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; rows of null doc_id stay."""
-    found = near_duplicates(docs, shingle, distance)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")

@@ -2,23 +2,47 @@ import random
 import re
 
 import corpus_pipeline
-from parley.llm import near_text, pii, simhash
+from parley.llm import near_text, pii
 from tests.llm.support import empty_docs, odd_docs, rows_of, shared
-from tests.llm.test_dedup import exact_by_hand, near_by_hand
-from tests.llm.test_text_operators import measured_by_hand
+from tests.llm.test_dedup import exact_by_hand
+from tests.llm.test_text_operators import base_by_hand, frame_by_hand, measured_by_hand
 from tests.llm.test_token_files import check_packing
 
 
+def kept_by_rules(text):
+    """The quality rules, plainly, but for texts that take too long: their longest repeat and its shares by sorting."""
+    return measured_by_hand(text)[-1] if len(text or "") < 6000 else long_one_kept(text)
+
+
+def long_one_kept(text):
+    if base_by_hand(text)[-1]:
+        return False
+    t = " ".join(re.findall(r"[^\x20\x09-\x0D]+", frame_by_hand(text)))
+    n = len(t)
+    least = 1
+    while 2**least <= n:
+        least += 1
+    inside = [False] * n
+    windows = {}
+    for i in range(n - least + 1):
+        windows.setdefault(t[i : i + least], []).append(i)
+    for at in windows.values():
+        for i in at if len(at) > 1 else ():
+            inside[i : i + least] = [True] * least
+    long = {}
+    return 5 * sum(inside) <= n and not any(long.setdefault(t[i : i + 251], i) != i for i in range(n - 250))
+
+
 def test_whole_pipeline_by_hand(spark, small):
+    """Every stage by a plain version of its rules, over all texts, long ones too."""
     docs = [(r["doc_id"], r["text"]) for r in rows_of(small, "documents")]
-    docs = [d for d in docs if len((d[1] or "").split()) < 1200 and measured_by_hand(d[1])[-1]] + [d for d in docs if len((d[1] or "").split()) >= 1200]
+    docs = [d for d in docs if kept_by_rules(d[1])]
     docs = [d for d, e in zip(docs, exact_by_hand(docs)) if e[3]]
-    docs = [d for d, e in zip(docs, near_by_hand(docs)) if d[0] == e[2]]
+    docs = [docs[k] for k in sorted(alike_by_hand(docs))]
     docs = [(i, pii.masked(t, pii.find(t))) for i, t in docs]
     got = corpus_pipeline.run(spark, small).collect()
-    long_ones = {i for i, t in docs if len(t.split()) >= 1200}
-    assert {r.doc_id for r in got} - long_ones == {i for i, _ in docs} - long_ones
-    bins, least = check_packing(got, [d for d in docs if d[0] in {r.doc_id for r in got}], 0, 2048)
+    assert {r.doc_id for r in got} == {i for i, _ in docs}
+    bins, least = check_packing(got, docs, 0, 2048)
     assert bins <= least + 1
 
 
@@ -35,7 +59,7 @@ def test_near_copies_go_and_clean_documents_stay(spark, small):
     rng = random.Random(2)
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)) for _ in range(30)]
     rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, re.sub(r"\S+$", "changed", t)) for k, t in enumerate(base[:10])]
-    left = {r.doc_id for r in simhash.keep_one(odd_docs(spark, rows)).collect()}
+    left = {r.doc_id for r in near_text.keep_one(odd_docs(spark, rows)).collect()}
     assert left == set(range(30))
 
 
@@ -87,3 +111,21 @@ def test_near_stage_leaves_one_row_of_repeated_ids(spark, small):
     rows = [(1, text), (2, text + " end"), (2, "quite another text"), (3, "one more text"), (3, "one more text"), (None, "one more text"), (4, ""), (5, None)]
     left = corpus_pipeline.near_duplicates(spark, odd_docs(spark, rows), small).collect()
     assert sorted((r.doc_id, r.text) for r in left) == [(1, text), (2, "quite another text"), (3, "one more text"), (4, "")]
+
+
+def test_near_stage_loses_no_text_of_repeated_ids(spark, small):
+    """Repeated and null ids among near copies, the same id on both sides, exact repeats: one row of every class stays."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(8)]
+    rows = [(1, " ".join(base[0])), (9, " ".join([*base[0], "end"])), (9, " ".join(base[1])), (20, " ".join([*base[1], "end"]))]
+    for _ in range(120):
+        words = list(rng.choice(base))
+        words[rng.randrange(60)] = rng.choice(["x", "y", words[0]])
+        rows.append((rng.choice([None, 3, 4, 5, 30, 31]), " ".join(words)))
+    left = corpus_pipeline.near_duplicates(spark, odd_docs(spark, rows), small).collect()
+    sets = shingle_sets(rows)
+    root = shared([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)], len(rows))
+    class_of = dict(zip((r for r in rows), root))
+    assert sorted(class_of[r.doc_id, r.text] for r in left) == sorted(set(root))
+    least = {c: min((i is None, i or 0) for (i, _), k in zip(rows, root) if k == c) for c in set(root)}
+    assert all((r.doc_id is None, r.doc_id or 0) == least[class_of[r.doc_id, r.text]] for r in left)
