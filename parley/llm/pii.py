@@ -8,9 +8,11 @@ email  name, at-sign, dotted domain          ip     four dotted numbers of at mo
 card   12 to 19 digits that pass Luhn        phone  plus sign, 9 to 15 digits with separators
 
 Added by the method: secret (values after a password, token or key cue, access key ids), account (IBAN after its cue with
-valid check digits, social security numbers after theirs), login (user:password before the host of an address).
+valid check digits, at its country's length; social security numbers and account numbers after theirs), login
+(user:password before the host of an address).
 
-Secrets and logins have no greatest length: they reach to the first delimiter.
+Cues are found in any case, those of several words with a space, hyphen, underscore or nothing between. Secrets and
+logins have no greatest length: they reach to the first delimiter.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans; null or repeated doc_ids are
 searched row by row; an empty table gives no rows; extra columns are ignored by ``find_all`` and kept by ``mask``.
@@ -22,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,11 @@ from parley.llm.common import slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "account", "login")
-CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
+# Cues in lower case.
+CUES = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api key", "access key", "secret key", "private key", "client secret", "credential")
+IBANS = ("iban",)
+SSNS = ("ssn", "social security number", "social security no", "social security")
+ACCOUNTS = ("account no", "account number", "account #", "acct no", "acct #", "account nr")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,8 +48,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 SET = re.compile(r"[\"']? {0,3}[=:] {0,3}[\"']?")
 VALUE = re.compile(r"[^\s\"',;]{8,}+")
-IBAN = re.compile(r"[ :.#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SSN = re.compile(r"[ :.#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+IBAN = re.compile(r"[ :.#=]{0,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+SSN = re.compile(r"[ :.#=]{0,3}([0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4})(?![0-9])")
+ACCOUNT = re.compile(r"[ :.#=]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
 LOGIN = re.compile(r"([^\s/?#@:]++:[^\s/?#@]++)@")
 
 #: Characters of an IBAN by its country.
@@ -68,11 +76,14 @@ def automaton():
     found = ahocorasick.Automaton()
     for digit in "0123456789":
         found.add_word(digit, ("digit", 1))
-    for mark, name in (("@", "at"), ("+", "plus"), ("://", "scheme"), ("AKIA", "key"), ("IBAN", "iban"), ("SSN", "ssn")):
+    for mark, name in (("@", "at"), ("+", "plus"), ("://", "scheme"), ("akia", "key")):
         found.add_word(mark, (name, len(mark)))
-    for cue in CUES:
-        for form in (cue, cue.capitalize(), cue.upper()):
-            found.add_word(form, ("cue", len(form)))
+    for cues, name in ((CUES, "cue"), (IBANS, "iban"), (SSNS, "ssn"), (ACCOUNTS, "account")):
+        for cue in cues:
+            first, *others = cue.split(" ")
+            for between in product((" ", "-", "_", ""), repeat=len(others)):
+                form = first + "".join(map(str.__add__, between, others))
+                found.add_word(form, (name, len(form)))
     found.make_automaton()
     return found
 
@@ -91,11 +102,15 @@ def iban_valid(number: str) -> bool:
 
 
 def iban_size(run: str) -> int:
-    """How much of a run of words is a valid IBAN: the words of its country's length, else as many as are valid; or 0."""
-    ends = [k for k in range(len(run), 0, -1) if k == len(run) or run[k] == " "]
-    valid = [k for k in ends if len(n := run[:k].replace(" ", "")) >= 15 and iban_valid(n)]
-    fit = [k for k in valid if len(run[:k].replace(" ", "")) == IBAN_SIZES.get(run[:2])]
-    return (fit or valid or [0])[0]
+    """How much of a run of words is a valid IBAN: the words of its country's length, as many as are valid for a country
+    that isn't listed; or 0."""
+    size = IBAN_SIZES.get(run[:2].upper())
+    for k in range(len(run), 0, -1):
+        if k == len(run) or run[k] == " ":
+            number = run[:k].replace(" ", "")
+            if (len(number) == size if size else len(number) >= 15) and iban_valid(number):
+                return k
+    return 0
 
 
 def find(text: str) -> list[Span]:
@@ -103,7 +118,8 @@ def find(text: str) -> list[Span]:
     spans: list[Span] = []
     email_done = ip_done = card_done = phone_done = value_done = 0
     last_digit = -1
-    for last, (what, size) in automaton().iter(text):
+    # Only ASCII letters are lower-cased, so places stay.
+    for last, (what, size) in automaton().iter(text.encode().lower().decode()):
         at = last + 1 - size
         if what == "digit":
             if at >= card_done:
@@ -151,6 +167,9 @@ def find(text: str) -> list[Span]:
         elif what == "ssn":
             if m := SSN.match(text, last + 1):
                 spans.append((m.start(1), 5, m.end(1)))
+        elif what == "account":
+            if m := ACCOUNT.match(text, last + 1):
+                spans.append((m.start(1), 5, m.end(1)))
         elif m := LOGIN.match(text, last + 1):
             spans.append((m.start(1), 6, m.end(1)))
     return sorted(set(spans))
