@@ -5,9 +5,12 @@ same lengths. Packing works on the counts of the lengths (at most `size` numbers
 with the number of their bins, then every piece looks its place up by its length and its number among pieces of that
 length. Nothing that grows with the corpus comes to the driver or to one task.
 
-Search: between two underfull bins, the fuller one gains by a move, a one-for-one exchange or a two-for-one exchange, in
-either direction of the two; each raises the sum of squared fills. The least filled bins give until they are empty or
-nothing more fits. It ends early once the bins are as few as the sum of lengths allows.
+Search: between two underfull bins, one takes from the other by a move, a one-for-one exchange or a two-for-one exchange,
+in either direction of the two; each raises the sum of squared fills. The least filled bins give until they are empty or
+nothing more fits. What could make room in a bin, nothing or one or two of its pieces, is indexed by the room it would
+leave, so the tightest place for a piece is looked up and not searched for. It ends when the bins are as few as the sum of
+lengths allows, or when no exchange between any two bins helps; there is no other limit. The index holds a place for each
+pair of lengths in each class of open bins, so it is only built where best fit leaves more bins than that sum.
 
 Null text counts as empty (only the end id); null or repeated doc_ids are packed row by row; an empty table gives no
 rows; extra columns are ignored.
@@ -93,70 +96,107 @@ def best_fit(counts: dict[int, int], size: int) -> Counter[Bin]:
     return +packed
 
 
-def gains(taker: Bin, giver: Bin, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that raises the taker's fill most: (rise, lengths it gives, lengths it takes)."""
-    best = None
-    mine = [()] + [(a,) for a, _ in taker] + pairs(taker)
-    yours = [(b,) for b, _ in giver] + pairs(giver)
-    for y in yours:
-        for x in mine:
-            if len(x) + len(y) > 3:
-                continue
-            rise = sum(y) - sum(x)
-            if 0 < rise <= room and (best is None or rise > best[0]):
-                best = (rise, x, y)
-                if rise == room:
-                    return best
-    return best
-
-
 def pairs(bin_: Bin) -> list[tuple[int, int]]:
     return list(combinations([k for k, _ in bin_], 2)) + [(k, k) for k, v in bin_ if v > 1]
 
 
-def local_search(bins: Counter[Bin], size: int, max_tries: int = 200_000) -> Counter[Bin]:
-    """Exchanges between underfull bins until none helps, no bin can be saved, or max_tries pairs were looked at."""
+def exchanged(bin_: Bin, gone: tuple[int, ...], come: tuple[int, ...]) -> Bin:
+    """The bin without some lengths and with others."""
+    held = dict(bin_)
+    for k in gone:
+        held[k] -= 1
+    for k in come:
+        held[k] = held.get(k, 0) + 1
+    return tuple(sorted([(k, v) for k, v in held.items() if v], reverse=True))
+
+
+class Places:
+    """Where pieces fit: for each open bin, the room that it has if it gives nothing, one or two of its lengths."""
+
+    def __init__(self, size: int):
+        self.size = size
+        #: By how many lengths are given and by the room: (their sum, the bin, the lengths), the smallest sum first.
+        self.rows = [[[] for _ in range(size + 1)] for _ in range(3)]
+        #: A bit for each room that some bin has.
+        self.rooms = [0, 0, 0]
+
+    def _of(self, bin_: Bin) -> Iterator[tuple[int, int, tuple[int, Bin, tuple[int, ...]]]]:
+        if room := self.size - fill(bin_):
+            yield 0, room, (0, bin_, ())
+            for k, _ in bin_:
+                yield 1, room + k, (k, bin_, (k,))
+            for x in pairs(bin_):
+                yield 2, room + x[0] + x[1], (x[0] + x[1], bin_, x)
+
+    def add(self, bin_: Bin) -> None:
+        for n, room, place in self._of(bin_):
+            insort(self.rows[n][room], place)
+            self.rooms[n] |= 1 << room
+
+    def remove(self, bin_: Bin) -> None:
+        for n, room, place in self._of(bin_):
+            row = self.rows[n][room]
+            del row[bisect_left(row, place)]
+            if not row:
+                self.rooms[n] ^= 1 << room
+
+    def tightest(self, n: int, total: int, giver: Bin, alone: bool, low: int) -> tuple[int, int, Bin, tuple[int, ...]] | None:
+        """The place for lengths of a giver (of fill low) that gives n smaller ones back: rise, room left, bin, lengths."""
+        room, rooms = total, self.rooms[n] >> total
+        while rooms:
+            skip = (rooms & -rooms).bit_length()
+            room, rooms = room + skip, rooms >> skip
+            for less, bin_, x in self.rows[n][room - 1]:
+                if less >= total:
+                    break
+                # The sum of squares rises by twice the rise times (taker's new fill less the giver's old one).
+                if self.size - (room - 1 - total) > low and not (alone and bin_ == giver):
+                    return total - less, room - 1 - total, bin_, x
+        return None
+
+
+def best_exchange(places: Places, giver: Bin, alone: bool) -> tuple[Bin, tuple[int, ...], tuple[int, ...]] | None:
+    """The taker, what it gives and what it takes: the exchange of most rise, less four times the room it leaves."""
+    low, best, most = fill(giver), None, 0
+    for y in [(k,) for k, _ in giver] + pairs(giver):
+        for n in range(min(2, 3 - len(y)) + 1):
+            if found := places.tightest(n, sum(y), giver, alone, low):
+                rise, room, bin_, x = found
+                if best is None or rise - 4 * room > most:
+                    best, most = (bin_, x, y), rise - 4 * room
+    return best
+
+
+def local_search(bins: Counter[Bin], size: int) -> Counter[Bin]:
+    """Exchanges between underfull bins until none helps or no bin can be saved."""
     bins = +bins
-    total = sum(fill(b) * n for b, n in bins.items())
-    least = -(-total // size)
+    least = -(-sum(fill(b) * n for b, n in bins.items()) // size)
     number = sum(bins.values())
-    stuck: set[Bin] = set()
-    tries = 0
-    while number > least and tries < max_tries:
-        open_ = sorted((b for b in bins if fill(b) < size), key=fill)
-        giver = next((b for b in open_ if b not in stuck), None)
-        if giver is None:
-            break
-        low, found = fill(giver), None
-        for taker in sorted(open_, key=lambda b: (size - fill(b), b)):
-            if fill(taker) < low or taker == giver and bins[giver] < 2:
-                continue
-            tries += 1
-            move = gains(taker, giver, size - fill(taker))
-            if move and (found is None or move[0] > found[0][0]):
-                found = (move, taker)
-                if move[0] >= size - fill(taker):
-                    break
-        if not found:
-            stuck.add(giver)
-            continue
-        (_, x, y), taker = found
-        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-        a, b = taker, giver
-        for k in x:
-            a, b = with_item(a, k, -1), with_item(b, k)
-        for k in y:
-            a, b = with_item(a, k), with_item(b, k, -1)
-        bins[taker] -= n
-        bins[giver] -= n
-        bins[a] += n
-        if b:
-            bins[b] += n
-        else:
-            number -= n
-        bins = +bins
-        stuck.clear()
-    return bins
+    if number <= least:
+        return bins
+    places = Places(size)
+    for b in bins:
+        places.add(b)
+    changed = True
+    while changed and number > least:
+        changed = False
+        for giver in sorted((b for b in bins if fill(b) < size), key=lambda b: (fill(b), b)):
+            while giver and bins[giver] and number > least and (found := best_exchange(places, giver, bins[giver] < 2)):
+                taker, x, y = found
+                n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+                left = exchanged(giver, y, x)
+                for b, more in ((taker, -n), (giver, -n), (exchanged(taker, x, y), n), (left, n)):
+                    if not b:
+                        number -= n
+                        continue
+                    if not bins[b]:
+                        places.add(b)
+                    bins[b] += more
+                    if not bins[b]:
+                        places.remove(b)
+                        del bins[b]
+                giver, changed = left, True
+    return +bins
 
 
 def slot_table(bins: Counter[Bin]) -> np.ndarray:

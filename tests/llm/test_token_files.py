@@ -1,6 +1,10 @@
+import collections
 import io
+import itertools
+import random
 import shutil
 import threading
+import time
 import zlib
 
 import numpy as np
@@ -119,7 +123,7 @@ def test_query_packs_all_documents(spark, small):
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=25))
 def test_search_keeps_all_items(counts):
     first = best_fit(counts, 50)
-    bins = local_search(first, 50, 2000)
+    bins = local_search(first, 50)
     for packed in (first, bins):
         held = {}
         for b, n in packed.items():
@@ -131,6 +135,51 @@ def test_search_keeps_all_items(counts):
     assert sum(r[2] for r in slot_table(bins)) == sum(counts.values())
 
 
+def improvements(bins, size):
+    """All exchanges between two bins that raise the sum of squared fills, by trying each."""
+    def parts(b, least):
+        flat = [k for k, v in b for _ in range(v)]
+        return {tuple(sorted(c)) for n in range(least, 3) for c in itertools.combinations(flat, n)}
+
+    for taker, giver in itertools.product(bins, bins):
+        if taker == giver and bins[taker] < 2:
+            continue
+        for x, y in itertools.product(parts(taker, 0), parts(giver, 1)):
+            rise = sum(y) - sum(x)
+            if len(x) + len(y) <= 3 and 0 < rise <= size - fill(taker) and (fill(taker) + rise) ** 2 + (fill(giver) - rise) ** 2 > fill(taker) ** 2 + fill(giver) ** 2:
+                yield taker, giver, x, y
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(5, 30), st.integers(1, 4), min_size=1, max_size=12))
+def test_search_ends_where_no_exchange_helps(counts):
+    first = best_fit(counts, 40)
+    bins = local_search(first, 40)
+    least = -(-sum(k * v for k, v in counts.items()) // 40)
+    assert sum(bins.values()) <= least or next(improvements(bins, 40), None) is None
+    squares = lambda c: sum(fill(b) ** 2 * n for b, n in c.items())
+    assert squares(bins) >= squares(first)
+
+
+#: Lengths that best fit packs badly: seed, shortest, longest, pieces; bins of best fit, at most after the search.
+HARD = [(1, 500, 800, 20_000, 6889, 6582), (3, 300, 700, 10_000, 2548, 2460), (4, 100, 900, 5_000, 1224, 1221)]
+
+
+@pytest.mark.parametrize("seed,shortest,longest,n,first,most", HARD)
+def test_search_on_hard_tables(seed, shortest, longest, n, first, most):
+    rng = random.Random(seed)
+    counts = collections.Counter(rng.randint(shortest, longest) for _ in range(n))
+    bins = best_fit(counts, 2048)
+    assert sum(bins.values()) == first
+    began = time.process_time()
+    found = local_search(bins, 2048)
+    assert sum(found.values()) <= most and time.process_time() - began < 60
+    held = collections.Counter()
+    for b, k in found.items():
+        held.update({length: each * k for length, each in b})
+    assert held == counts
+
+
 def test_search_saves_a_bin():
     # Best fit takes three bins for 6 6 | 5 5 | ... where two exchanges need fewer.
     counts = {7: 2, 6: 2, 5: 2, 4: 2, 3: 2, 2: 2}
