@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,23 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_store(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder and its path there, on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """A new folder under the cluster's shared checkpoint folder, which goes when the session's JVM ends.
+
+    Without that setting only a session whose executors live in this process may use a folder of this machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="parley-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}"
+    store, path = file_store(spark, folder)
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
 
 
 def materialise(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. Survives the loss of any executor."""
     spark = df.sparkSession
-    path = shared_folder(spark)
+    path = f"{shared_folder(spark)}/table"
     (df.select(*cols) if cols else df).write.parquet(path)
-    return spark.read.schema((df.select(*cols) if cols else df).schema).parquet(path)
+    out = spark.read.schema((df.select(*cols) if cols else df).schema).parquet(path)
+    out._parley_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote, once nothing reads it any more."""
+    for df in tables:
+        store, path = file_store(df.sparkSession, df._parley_path)
+        store.delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

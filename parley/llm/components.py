@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import lookup_join, materialise
+from parley.llm.common import discard, lookup_join, materialise
 
 
 def _state(links: DataFrame) -> tuple:
@@ -19,10 +19,10 @@ def _state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _with_least(pairs: DataFrame, node: str, other: str, total: int) -> DataFrame:
-    """pairs and m, the least other end that each node has."""
+def _with_least(pairs: DataFrame, node: str, other: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """pairs and m, the least other end that each node has; and the table of these."""
     facts = materialise(pairs.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n")))
-    return lookup_join(pairs, facts, node, "n", total)
+    return lookup_join(pairs, facts, node, "n", total), facts
 
 
 def components(links: DataFrame, u: str, v: str) -> DataFrame:
@@ -32,12 +32,13 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
     state = _state(stars)
     while state[0]:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = _with_least(both, "u", "v", 2 * state[0])
+        least, first = _with_least(both, "u", "v", 2 * state[0])
         large = materialise(least.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct())
-        lowest = _with_least(large, "a", "b", large.count())
+        lowest, second = _with_least(large, "a", "b", large.count())
         small = lowest.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.where("b = m").select("a", "b"))
         small = materialise(small.distinct())
         after = _state(small)
+        discard(stars, first, large, second)
         stars = small
         if after == state:
             break

@@ -6,8 +6,10 @@ XXH64 of its content, and a footer. A reader fetches the footer, the table and t
 
 Documents are dealt to files by ranges of doc_id, in ascending order within a file; files ascend with their number.
 Null text counts as empty (only the end id); a null doc_id sorts first; rows that share a doc_id all stay, in the order
-of their text; an empty table gives no file. Extra columns are ignored. A file appears under its name once whole, by a
-rename, so a repeated or speculative task leaves the same result.
+of the first HEAD characters of their text, then of its hash; they too are dealt to several files, so no id is too heavy;
+an empty table gives no file. Extra columns are ignored. An id that doesn't fit into `width` bytes is an error. A file
+appears under its name once whole, by a rename, so a repeated or speculative task leaves the same result; what broken-off
+tasks left is removed.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialise, shared_folder, slices
+from parley.llm.common import file_store, materialise, shared_folder, slices
 from parley.llm.wordbpe import SLICE, encoder
 
 # Fixed values of the seekable zstandard format.
@@ -39,6 +41,8 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 #: version, bytes of an id, documents
 INDEX_HEAD = struct.Struct("<HHQ")
 FOOTER = struct.Struct("<IBI")
+#: Characters of a text that order rows of one doc_id.
+HEAD = 32
 WRITTEN = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
@@ -55,6 +59,8 @@ class FrameWriter:
         self.tokens = self.bytes = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >> 8 * self.width):
+            raise ValueError(f"document {doc_id}: an id doesn't fit into {self.width} bytes")
         raw = ids.astype(self.kind).tobytes()
         packed = self.packer.compress(raw)
         self.out.write(packed)
@@ -112,6 +118,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     ranges of doc_id; every task writes one file and holds one batch at a time.
     """
     folder = folder or shared_folder(docs.sparkSession)
+    store, path = file_store(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -120,27 +127,36 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         path, draft = f"{root}/{name}", f"{root}/.{name}-{uuid.uuid4().hex}"
         out = writer = None
         words = encoder(vocabulary)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(draft)
-                    writer = FrameWriter(out, width, level)
-                ids, counts = words.encode(part.column("text"))
-                ends = np.cumsum(counts)
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), ends - counts, ends):
-                    writer.add(doc_id, np.append(ids[a:b], end_id))
-        if writer is None:
-            return
-        writer.finish()
-        out.close()
-        store.move(draft, path)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        out = store.open_output_stream(draft)
+                        writer = FrameWriter(out, width, level)
+                    ids, counts = words.encode(part.column("text"))
+                    ends = np.cumsum(counts)
+                    for doc_id, a, b in zip(part.column("doc_id").to_pylist(), ends - counts, ends):
+                        writer.add(doc_id, np.append(ids[a:b], end_id))
+            if writer is None:
+                return
+            writer.finish()
+            out.close()
+            store.move(draft, path)
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(draft)
+            raise
         row = [context.partitionId(), f"{folder}/{name}", len(writer.ids), writer.tokens, writer.bytes]
         yield pa.RecordBatch.from_pydict({c.split()[0]: [v] for c, v in zip(WRITTEN.split(", "), row)}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.substring("text", 1, HEAD), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = materialise(dealt.mapInArrow(write, WRITTEN))
+    for left in store.globStatus(path.suffix("/.tokens-*")) or () if store.exists(path) else ():
+        store.delete(left.getPath(), False)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

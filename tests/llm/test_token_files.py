@@ -1,6 +1,7 @@
 import collections
 import io
 import itertools
+import os
 import random
 import shutil
 import threading
@@ -80,6 +81,43 @@ def test_files_of_odd_rows(spark):
     assert read_token_files(write_token_files(empty_docs(spark), PATH, 1)).count() == 0
 
 
+def test_ids_that_do_not_fit_are_refused():
+    writer = FrameWriter(io.BytesIO())
+    writer.add(1, np.array([0, 65535]))
+    for ids in ([65536], [70000, 1], [-1]):
+        with pytest.raises(ValueError):
+            writer.add(2, np.array(ids))
+    FrameWriter(io.BytesIO(), width=4).add(1, np.array([70000]))
+
+
+def test_one_id_is_dealt_to_several_files(spark, tmp_path):
+    rows = [(None if k % 2 else 7, f"text {k * 7919 % 1000} " + "x " * 30) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / ".tokens-000001.zst-broken").write_text("left by a lost task")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ones are joined else
+    try:
+        files = write_token_files(docs, PATH, 1, f"file://{tmp_path}/files").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 2 and max(r.n_docs for r in files) < 600
+    assert not [p for p in (tmp_path / "files").iterdir() if p.name.startswith(".") and "broken" in p.name]
+    with pytest.raises(Exception, match="doesn't fit"):
+        write_token_files(docs, PATH, 1, f"file://{tmp_path}/narrow", width=1)
+    assert not list((tmp_path / "narrow").iterdir())
+
+
+def test_intermediates_go(spark):
+    from parley.llm.common import discard, materialise
+
+    table = materialise(spark.range(3))
+    assert table.count() == 3
+    folder = table._parley_path.removeprefix("file:")
+    assert os.path.exists(folder)
+    discard(table)
+    assert not os.path.exists(folder)
+
+
 def test_query_writes_all_documents(spark, small):
     got = [tuple(r)[:4] for r in queries.op2_token_files(spark, small).collect()]
     check_files(got, [(r["doc_id"], r["text"]) for r in rows_of(small, "documents")], 1)
