@@ -15,7 +15,7 @@ from parley.functions import language, text
 from parley.operators import chat, models, notes, search, status, transcripts
 from parley.plans import schemas
 from parley.sources import media, sinks
-from parley.sources.tables import TURN_MS, questions, table, utterances
+from parley.sources.tables import TURN_MS, chat_requests, llm_requests, questions, table, utterances
 
 WORD = "the"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,10 +127,15 @@ def k5_output_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(text.stem(name), F.lit(".txt")).alias("name"))
 
 
+@query("select conv_id as transcript_id, turn as seq, substr(text, 1, 50) as line from conversations where role = 'user'")
+def k7_log_line(spark, sf_dir):
+    return questions(table(spark, sf_dir, "conversations")).select("transcript_id", "seq", chat.logged(F.col("user_query")).alias("line"))
+
+
 @query("select conv_id as transcript_id, turn as seq, role, text as content from conversations union all select conv_id, turn + 1, 'assistant', 'Error: none' from conversations where role = 'user'")
 def k8_history_append(spark, sf_dir):
     history = _u(spark, sf_dir).select("transcript_id", F.col("pos").alias("seq"), F.col("speaker").alias("role"), F.col("text").alias("content"))
-    answers = questions(table(spark, sf_dir, "conversations")).select("transcript_id", "seq", F.lit(None).cast("string").alias("ai_response"), F.lit("none").alias("error"))
+    answers = questions(table(spark, sf_dir, "conversations")).select("transcript_id", "seq", F.lit(None).cast("string").alias("ai_response"), status.error(F.lit("none"), "RuntimeError").alias("error"))
     return chat.append(history, answers)
 
 
@@ -178,6 +183,20 @@ def p8_bullets(spark, sf_dir):
     return _notes(spark, sf_dir).select("transcript_id", notes.bullet_lines(F.col("action_items")).alias("bullets"))
 
 
+@query("with t as (select conv_id, string_agg(text, chr(10) order by turn) as context from conversations group by 1) select c.conv_id as transcript_id, turn as seq, context as transcript_context, text as user_query from conversations c join t using (conv_id) where role = 'user'")
+def p9_chat_payload(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    paired = chat.pair(questions(rows), transcripts.full_text(utterances(rows)))
+    sent = paired.select("transcript_id", "seq", F.to_json(F.struct(F.col("context").alias("transcript_context"), "user_query")).alias("body"))
+    return chat_requests(sent, "body").select("transcript_id", "seq", "request.transcript_context", "request.user_query")
+
+
+@query("select conv_id as transcript_id, turn as seq, text as transcript from conversations")
+def p9_llm_payload(spark, sf_dir):
+    sent = _u(spark, sf_dir).select("transcript_id", F.col("pos").alias("seq"), F.to_json(F.struct(F.col("text").alias("transcript"))).alias("body"))
+    return llm_requests(sent, "body").select("transcript_id", "seq", "request.transcript")
+
+
 # Filters
 
 
@@ -236,11 +255,12 @@ def f11_button_states(spark, sf_dir):
 @query(f"with {NOTES}, s as (select transcript_id, summary, case when transcript_id % 3 = 0 then 'down' end as se, case when transcript_id % 2 = 0 then 'busy' end as ie, n_items from notes) select transcript_id, case when se is null then summary end as summary, case when se is not null then coalesce(ie, se) end as summary_error, case when se is null and ie is null then n_items else 0 end as n_items, case when se is null then ie end as action_items_error from s")
 def j1_notes_merge(spark, sf_dir):
     rows = _notes(spark, sf_dir)
-    summaries = rows.select("transcript_id", "summary", F.when(F.col("transcript_id") % 3 == 0, "down").alias("summary_error"))
+    error = lambda bad, detail: status.error(F.when(bad, detail), "RuntimeError")
+    summaries = rows.select("transcript_id", "summary", error(F.col("transcript_id") % 3 == 0, "down").alias("summary_error"))
     busy = F.col("transcript_id") % 2 == 0
-    items = rows.select("transcript_id", F.when(~busy, F.col("action_items")).alias("action_items"), F.when(busy, "busy").alias("items_error"))
+    items = rows.select("transcript_id", F.when(~busy, F.col("action_items")).alias("action_items"), error(busy, "busy").alias("items_error"))
     out = notes.merge(summaries, items)
-    return out.select("transcript_id", "summary", "summary_error", F.size("action_items").cast("long").alias("n_items"), "action_items_error")
+    return out.select("transcript_id", "summary", F.col("summary_error.detail").alias("summary_error"), F.size("action_items").cast("long").alias("n_items"), F.col("action_items_error.detail").alias("action_items_error"))
 
 
 @query("with t as (select conv_id, string_agg(text, chr(10) order by turn) as context from conversations group by 1) select c.conv_id as transcript_id, turn as seq, text as user_query, context from conversations c join t using (conv_id) where role = 'user'")
@@ -349,19 +369,21 @@ def m3_language(spark, sf_dir):
 
 @query("with t as (select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by 1) select conv_id as transcript_id, split_part(text, chr(10), 1) as summary, cast(null as varchar) as summary_error from t")
 def m4_summarize(spark, sf_dir):
-    return models.summarize(transcripts.full_text(_u(spark, sf_dir)), models.Replay)
+    out = models.summarize(transcripts.full_text(_u(spark, sf_dir)), models.Replay)
+    return out.withColumn("summary_error", F.col("summary_error.detail"))
 
 
 @query("with t as (select conv_id, string_split(string_agg(text, chr(10) order by turn), chr(10))[1:2] as l from conversations group by 1) select conv_id as transcript_id, array_to_string(list_filter(l, lambda x: trim(x) <> ''), chr(10)) as items, cast(null as varchar) as items_error from t")
 def m5_action_items(spark, sf_dir):
     out = models.extract_items(transcripts.full_text(_u(spark, sf_dir)), models.Replay)
-    return out.select("transcript_id", F.array_join("action_items", "\n").alias("items"), "items_error")
+    return out.select("transcript_id", F.array_join("action_items", "\n").alias("items"), F.col("items_error.detail").alias("items_error"))
 
 
 @query(f"with t as (select conv_id, string_split(string_agg(text, chr(10) order by turn), chr(10)) as l from conversations group by 1) select c.conv_id as transcript_id, turn as seq, text as user_query, coalesce(list_filter(l, lambda x: contains(x, split_part(text, ' ', 1)))[1], '{chat.NOT_AVAILABLE}') as ai_response, cast(null as varchar) as error from conversations c join t using (conv_id) where role = 'user'")
 def m6_answer(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return models.answer(chat.pair(questions(rows), transcripts.full_text(utterances(rows))), models.Replay)
+    out = models.answer(chat.pair(questions(rows), transcripts.full_text(utterances(rows))), models.Replay)
+    return out.withColumn("error", F.col("error.detail"))
 
 
 @query("select conv_id as transcript_id, turn as pos, replace($q$" + chat.SUMMARY_PROMPT + "$q$, '{context}', text) as prompt from conversations")
@@ -369,9 +391,38 @@ def m7_prompt(spark, sf_dir):
     return _u(spark, sf_dir).select("transcript_id", "pos", chat.summary_prompt(F.col("text")).alias("prompt"))
 
 
+def _filled(prompt: str, **parts: str) -> str:
+    """The SQL of a prompt with its parts, each placeholder replaced once."""
+    pieces = re.split(r"\{(\w+)\}", prompt)
+    out = [f"$q${x}$q$" if k % 2 == 0 else parts.get(x, f"$q${{{x}}}$q$") for k, x in enumerate(pieces)]
+    return " || ".join(out)
+
+
+@query(f"select conv_id as transcript_id, turn as pos, {_filled(chat.ITEMS_PROMPT, context='text')} as prompt from conversations")
+def m7_items_prompt(spark, sf_dir):
+    return _u(spark, sf_dir).select("transcript_id", "pos", chat.items_prompt(F.col("text")).alias("prompt"))
+
+
+@query(f"with t as (select conv_id, string_agg(text, chr(10) order by turn) as context from conversations group by 1) select c.conv_id as transcript_id, turn as seq, {_filled(chat.CHAT_PROMPT, context='context', question='text', missing=f'$q${chat.NOT_AVAILABLE}$q$')} as prompt from conversations c join t using (conv_id) where role = 'user'")
+def m7_chat_prompt(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    paired = chat.pair(questions(rows), transcripts.full_text(utterances(rows)))
+    return paired.select("transcript_id", "seq", chat.chat_prompt(F.col("context"), F.col("user_query")).alias("prompt"))
+
+
 # Control
 
 
+@query(f"select lang as source_path, 'upload' as stage, 415 as code, 'unsupported type ' || lang || '; accepted: {', '.join(sorted({*media.MIME_TYPES.values(), *media.OTHER_TYPES}))}' as detail from documents")
+def x13_reject_detail(spark, sf_dir):
+    return media.rejects(table(spark, sf_dir, "documents"), "lang", "lang")
+
+
+@query("select source as source_path, 'transcribe' as stage, 422 as code, 'Transcription failed: no speech' as detail from documents where lang = 'fr'")
+def c3_transcription_failures(spark, sf_dir):
+    return models.failures(transcripts.project(_transcripts(spark, sf_dir)))
+
+
 @query("select conv_id as transcript_id, turn as pos, case when turn = 0 then 'loading' when turn = 1 then 'summarizing' when turn = 2 then 'chatting' when role = 'system' then 'error' when turn = 3 then 'summary_error' when role = 'user' then 'ready' else 'idle' end as status from conversations")
 def c1_status(spark, sf_dir):
     u = _u(spark, sf_dir)

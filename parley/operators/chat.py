@@ -10,7 +10,8 @@ from parley.functions.text import fill
 SUMMARY_PROMPT = "Task: state in a few sentences what was discussed and decided in this meeting.\n<<<\n{context}\n>>>\nSummary:"
 ITEMS_PROMPT = 'Task: list what people agreed to do after this meeting, with the owner if one is named. Answer in JSON: {"action_items": ["..."]}, with an empty list if there is nothing.\n<<<\n{context}\n>>>\nJSON:'
 CHAT_PROMPT = "Task: answer from this meeting only, briefly; if it does not say, answer: {missing}\n<<<\n{context}\n>>>\nQuestion: {question}\nAnswer:"
-NOT_AVAILABLE = "The transcript does not contain the answer."
+# Fixed value: what an answer says that the transcript does not hold.
+NOT_AVAILABLE = "The answer is not available in the provided transcript context."
 
 
 def pair(questions: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def last_turn(turns: DataFrame) -> DataFrame:
 
 def append(history: DataFrame, answers: DataFrame) -> DataFrame:
     """History with the answers, or their errors, as assistant turns after their questions."""
-    added = answers.select("transcript_id", (F.col("seq") + 1).alias("seq"), F.lit("assistant").alias("role"), F.coalesce("ai_response", F.concat(F.lit("Error: "), "error")).alias("content"))
+    added = answers.select("transcript_id", (F.col("seq") + 1).alias("seq"), F.lit("assistant").alias("role"), F.coalesce("ai_response", F.concat(F.lit("Error: "), "error.detail")).alias("content"))
     return history.select("transcript_id", "seq", "role", "content").unionByName(added)
 
 

@@ -1,14 +1,19 @@
 """Model operators: transcription, summary, action items and answers through a provider.
 
-A provider is built once a worker from a factory that pickles. Model columns are scalar Arrow UDFs, so Catalyst drops the
-calls of a column nobody reads; filters belong on the input, before the model. Errors come back a row each, never as a
-failed job. Model output is to be written before it is used twice.
+A provider is built once a worker, from the settings, by a factory that pickles. Model columns are scalar Arrow UDFs, so
+Catalyst drops the calls of a column nobody reads; filters belong on the input, before the model. A worker has a bounded
+number of calls open at once; each has a time limit, and is made again only if the connection failed, after a pause.
+Errors come back a row each as struct<code, detail>, never as a failed job. Model output is to be written before it is
+used twice.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as LateError
 from typing import Protocol
 
 import pandas as pd
@@ -16,18 +21,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import FENCE, not_blank, strip
-from parley.operators import chat
+from parley.operators import chat, status
 from parley.plans.schemas import TRANSCRIPT
+from parley.plans.settings import Settings
+
+
+# How the details of errors begin.
+NO_SUMMARY, NO_ITEMS, NOT_PARSED, NO_ANSWER = "Failed to generate summary: ", "Failed to extract action items: ", "Failed to parse action items from LLM response: ", "Failed to get chat response: "
 
 
 class Provider(Protocol):
-    def transcribe(self, path: str, content: bytes) -> dict: ...
+    """Built by its factory from the settings, which name the model, its temperature and keys."""
+
+    def transcribe(self, path: str, content: bytes | None) -> dict: ...
 
     def complete(self, prompt: str) -> str: ...
 
 
-Factory = Callable[[], Provider]
+Factory = Callable[[Settings], Provider]
 ANSWER = "value string, error string"
+DEFAULT = Settings()
 
 
 def available(factory: Factory | None) -> Factory:
@@ -37,36 +50,60 @@ def available(factory: Factory | None) -> Factory:
     return factory
 
 
-def complete(prompt: Column, factory: Factory, retries: int = 2) -> Column:
-    """struct<value, error> of the provider's answer to each prompt; null prompts are not sent."""
-    held: list[Provider] = []
+def _asked(provider: Provider, prompt: str, settings: Settings, seconds: float) -> tuple[str | None, str | None]:
+    """The answer, or what went wrong; a failed connection is tried again."""
+    wait = settings.backoff_seconds
+    for left in range(settings.max_retries, -1, -1):
+        try:
+            return provider.complete(prompt), None
+        except ConnectionError as e:
+            error = str(e)
+            if left:
+                time.sleep(min(wait, seconds))
+                wait *= 2
+        except Exception as e:
+            return None, str(e)
+    return None, error
+
+
+def complete(prompt: Column, factory: Factory, settings: Settings = DEFAULT, seconds: float = DEFAULT.summary_seconds) -> Column:
+    """struct<value, error> of the provider's answer to each prompt; null prompts are not sent.
+
+    A call that is late is given up: its row is an error and its thread ends when the provider lets go.
+    """
+    held: list = []
 
     @F.pandas_udf(ANSWER)
     def call(prompts: pd.Series) -> pd.DataFrame:
         if not held:
-            held.append(factory())
+            held.extend((factory(settings), ThreadPoolExecutor(settings.calls_at_once)))
         out = []
-        for p in prompts:
-            value = error = None
-            for left in range(retries, -1, -1) if p is not None else ():
+        for at in range(0, len(prompts), settings.calls_at_once):
+            sent = [None if p is None else held[1].submit(_asked, held[0], p, settings, seconds) for p in prompts[at : at + settings.calls_at_once]]
+            until = time.monotonic() + seconds
+            for future in sent:
                 try:
-                    value, error = held[0].complete(p), None
-                    break
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                    if not left:
-                        break
-            out.append((value, error))
+                    out.append((None, None) if future is None else future.result(max(until - time.monotonic(), 0)))
+                except LateError:
+                    future.cancel()
+                    out.append((None, f"no answer within {seconds:g} seconds"))
+            if any(f and not f.done() for f in sent):  # late calls keep their threads
+                held[1].shutdown(wait=False)
+                held[1] = ThreadPoolExecutor(settings.calls_at_once)
         return pd.DataFrame(out, columns=["value", "error"])
 
     return call.asNondeterministic()(prompt)
 
 
-def summarize(transcripts: DataFrame, factory: Factory, retries: int = 2) -> DataFrame:
+def _error(column: str, begins: str) -> Column:
+    return status.error(F.concat(F.lit(begins), F.col(column)), "RuntimeError")
+
+
+def summarize(transcripts: DataFrame, factory: Factory, settings: Settings = DEFAULT) -> DataFrame:
     """transcript_id, summary, summary_error of transcripts with text."""
     rows = transcripts.where(F.coalesce("text", F.lit("")) != "")
-    out = rows.select("transcript_id", complete(chat.summary_prompt(F.col("text")), available(factory), retries).alias("a"))
-    return out.select("transcript_id", strip(F.col("a.value")).alias("summary"), F.col("a.error").alias("summary_error"))
+    out = rows.select("transcript_id", complete(chat.summary_prompt(F.col("text")), available(factory), settings, settings.summary_seconds).alias("a"))
+    return out.select("transcript_id", strip(F.col("a.value")).alias("summary"), _error("a.error", NO_SUMMARY).alias("summary_error"))
 
 
 def parse_items(raw: Column) -> tuple[Column, Column]:
@@ -82,47 +119,61 @@ def parse_items(raw: Column) -> tuple[Column, Column]:
     return ok, not_blank(items)
 
 
-def extract_items(transcripts: DataFrame, factory: Factory, retries: int = 2) -> DataFrame:
+def extract_items(transcripts: DataFrame, factory: Factory, settings: Settings = DEFAULT) -> DataFrame:
     """transcript_id, action_items, items_error of transcripts with text."""
     rows = transcripts.where(F.coalesce("text", F.lit("")) != "")
-    out = rows.select("transcript_id", complete(chat.items_prompt(F.col("text")), available(factory), retries).alias("a"))
+    out = rows.select("transcript_id", complete(chat.items_prompt(F.col("text")), available(factory), settings, settings.items_seconds).alias("a"))
     ok, items = parse_items(F.col("a.value"))
-    error = F.coalesce("a.error", F.when(~ok, F.lit("RuntimeError: failed to parse action items")))
-    out = out.withColumn("items_error", error)
+    unread = status.error(F.when(~ok, F.concat(F.lit(NOT_PARSED), F.substring(F.coalesce("a.value", F.lit("")), 1, 200))), "RuntimeError")
+    out = out.withColumn("items_error", F.coalesce(_error("a.error", NO_ITEMS), unread))
     return out.select("transcript_id", F.when(F.col("items_error").isNull(), items).alias("action_items"), "items_error")
 
 
-def answer(paired: DataFrame, factory: Factory, retries: int = 2) -> DataFrame:
+def answer(paired: DataFrame, factory: Factory, settings: Settings = DEFAULT) -> DataFrame:
     """transcript_id, seq, user_query, ai_response, error of questions paired with their context."""
     rows = paired.where((F.coalesce("context", F.lit("")) != "") & (F.coalesce("user_query", F.lit("")) != ""))
-    out = rows.select("transcript_id", "seq", "user_query", complete(chat.chat_prompt(F.col("context"), F.col("user_query")), available(factory), retries).alias("a"))
-    return out.select("transcript_id", "seq", "user_query", strip(F.col("a.value")).alias("ai_response"), F.col("a.error").alias("error"))
+    out = rows.select("transcript_id", "seq", "user_query", complete(chat.chat_prompt(F.col("context"), F.col("user_query")), available(factory), settings, settings.chat_seconds).alias("a"))
+    return out.select("transcript_id", "seq", "user_query", strip(F.col("a.value")).alias("ai_response"), _error("a.error", NO_ANSWER).alias("error"))
+
 
+def transcribe(media: DataFrame, factory: Factory, settings: Settings = DEFAULT) -> DataFrame:
+    """Transcripts of files (path, and content if it is there); a failed one is a row with status error.
 
-def transcribe(media: DataFrame, factory: Factory) -> DataFrame:
-    """Transcripts of files (path, content); a failed one is a row with status error."""
+    Without a content column nothing of a file is read here, whatever its size: the provider gets its path alone.
+    """
     factory = available(factory)
+    columns = [c for c in ("path", "content") if c in media.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = factory()
+        provider = factory(settings)
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch["path"], batch.get("content", [None] * len(batch))):
                 row = dict.fromkeys(TRANSCRIPT.names) | {"transcript_id": path, "source_path": path}
                 try:
-                    row |= {"status": "completed"} | provider.transcribe(path, bytes(content))
+                    row |= {"status": "completed"} | provider.transcribe(path, None if content is None else bytes(content))
                 except Exception as e:
                     row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
                 out.append(row)
             yield pd.DataFrame(out, columns=TRANSCRIPT.names)
 
-    return media.select("path", "content").mapInPandas(run, TRANSCRIPT)
+    return media.select(*columns).mapInPandas(run, TRANSCRIPT)
+
+
+def failures(transcripts: DataFrame) -> DataFrame:
+    """source_path, stage, code and detail of transcripts that failed."""
+    detail = F.concat(F.lit("Transcription failed: "), F.coalesce("error", F.lit("")))
+    failed = transcripts.where(F.col("status") == "error").select("source_path", status.error(detail, "TranscriptionFailed").alias("e"))
+    return failed.select("source_path", F.lit("transcribe").alias("stage"), "e.code", "e.detail")
 
 
 class Replay:
     """A test double, not a model: files hold the transcript they stand for, answers are cut out of the prompt."""
 
-    def transcribe(self, path: str, content: bytes) -> dict:
+    def __init__(self, settings: Settings = DEFAULT):
+        self.settings = settings
+
+    def transcribe(self, path: str, content: bytes | None) -> dict:
         return json.loads(content)
 
     def complete(self, prompt: str) -> str:

@@ -24,6 +24,11 @@ def code_of(kind: Column) -> Column:
     return F.when(kind.isNotNull(), F.coalesce(F.try_element_at(table, kind), F.lit(500)))
 
 
+def error(detail: Column, kind: str) -> Column:
+    """struct<code, detail> of a failure of a kind; null where detail is."""
+    return F.when(detail.isNotNull(), F.struct(F.lit(CODES.get(kind, 500)).alias("code"), detail.alias("detail")))
+
+
 def guard(rows: DataFrame, *required: str, key: str = "transcript_id") -> tuple[DataFrame, DataFrame]:
     """Rows whose required columns hold something, white space included, and rejects with code 400 for the others."""
     ok = F.lit(True)

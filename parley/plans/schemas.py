@@ -24,9 +24,8 @@ TRANSCRIPT = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
+#: What went wrong with a row.
+ERROR = "struct<code:int,detail:string>"
 LLM_REQUEST = T.StructType([T.StructField("transcript", T.StringType())])
 CHAT_REQUEST = T.StructType([T.StructField("transcript_context", T.StringType()), T.StructField("user_query", T.StringType())])
-SUMMARY = T.StructType([T.StructField("summary", T.StringType())])
-ACTION_ITEMS = T.StructType([T.StructField("action_items", T.ArrayType(T.StringType()))])
-CHAT_RESPONSE = T.StructType([T.StructField("ai_response", T.StringType())])
 CHAT_TURN = T.StructType([T.StructField("seq", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])

@@ -39,6 +39,11 @@ def accepted(mime: Column) -> Column:
     return F.coalesce(mime.isin(*MIME_TYPES.values(), *OTHER_TYPES), F.lit(False))
 
 
+def staged_name(path: Column) -> Column:
+    """A new random name for a file, its extension kept; another one each time it is computed."""
+    return F.concat(F.uuid(), extension(path))
+
+
 def rejects(files: DataFrame, name: str, mime: str) -> DataFrame:
     """source_path, stage, code and detail of files of other types."""
     listed = ", ".join(sorted({*MIME_TYPES.values(), *OTHER_TYPES}))

@@ -23,10 +23,17 @@ HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 STYLES = ("Normal", "Title", "Heading1", "ListBullet")
 
 
-def write_text(notes: DataFrame, path: str) -> None:
-    """One text a transcript, in folders by transcript_id."""
-    text = as_text(F.col("summary"), F.col("action_items"), F.col("text")).alias("value")
-    notes.select("transcript_id", text).write.partitionBy("transcript_id").option("lineSep", "\n").text(path)
+def write_text(notes: DataFrame, path: str, one_each: bool = False) -> None:
+    """Each transcript's notes as one text: rows of transcript_id, name and content, as many files as there are tasks.
+
+    one_each writes a folder for each transcript instead, for few of them.
+    """
+    text = as_text(F.col("summary"), F.col("action_items"), F.col("text"))
+    if one_each:
+        notes.select("transcript_id", text.alias("value")).write.partitionBy("transcript_id").option("lineSep", "\n").text(path)
+    else:
+        name = F.concat(F.col("transcript_id").cast("string"), F.lit(".txt"))
+        notes.select("transcript_id", name.alias("name"), text.alias("content")).write.parquet(path)
 
 
 def write_csv(notes: DataFrame, path: str) -> None:

@@ -11,10 +11,12 @@ from parley.sources.media import GLOB
 MEDIA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, factory: Factory, clean: bool = False) -> StreamingQuery:
-    """Transcribe the files that are new since the last run, append them to out, and stop. clean deletes done files."""
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, factory: Factory, clean: bool = False, by_path: bool = False) -> StreamingQuery:
+    """Transcribe the files that are new since the last run, append them to out, and stop. clean deletes done files;
+    by_path hands the provider paths alone and reads no content."""
     source = spark.readStream.format("binaryFile").schema(MEDIA).option("pathGlobFilter", GLOB)
     if clean:
         source = source.option("cleanSource", "delete")
-    rows = transcribe(source.load(folder), factory)
+    files = source.load(folder)
+    rows = transcribe(files.select("path") if by_path else files, factory)
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
