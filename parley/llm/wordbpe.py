@@ -2,7 +2,8 @@
 
 The vocabulary's own splitter never lets a token cross white space, so a text's ids are those of its words in turn.
 Words are cut at ASCII white space only, which the splitter drops too; any other white space stays inside a word and
-is left to the library. Every id comes from the library; the memory of words is bounded and only saves time.
+is left to the library. Every id comes from the library; the memory of words is bounded and only saves time: when it is
+full, the half of the words that most slices of texts had stays.
 
 Words of Latin letters and closing marks are two matches of the splitter each, the letters and the marks. Their letters
 are lower-cased here and given to the library's model without its normaliser and splitter, which would leave them as
@@ -14,19 +15,22 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
+import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words remembered by a worker before it forgets them all (some 100 MB).
+#: Distinct words remembered by a worker before it forgets half of them (some 100 MB).
 MAX_WORDS = 300_000
 #: Texts are encoded in slices of about so many bytes; each takes some twenty times as much while it is worked on.
 SLICE = 2 << 20
-#: Marks that the splitter never joins to a letter before them.
-MARKS = ".,;:!?"
+#: Marks that the splitter never joins to a letter before them, at the end of a word.
+MARKS = string.punctuation
 #: Latin letters but U+0130, whose lower case has two code points; then closing marks.
 PLAIN = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"
+IS_PLAIN = f"^{PLAIN}[{re.escape(MARKS)}]*$"
 
 
 def _byte_letters() -> np.ndarray:
@@ -64,6 +68,12 @@ def strings(column: pa.Array) -> list[str]:
     return pc.binary_join(one, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
 
 
+def grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The array with zeros at its end, at least size long."""
+    more = size - len(values)
+    return values if more <= 0 else np.concatenate([values, np.zeros(max(more, len(values)), values.dtype)])
+
+
 class WordEncoder:
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,22 +83,31 @@ class WordEncoder:
         parts = json.loads(self.whole.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(parts))
         self.max_words = max_words
-        self.forget()
-
-    def forget(self) -> None:
+        #: Words in the order of their slots; the empty one is always the first.
         self.slot: dict[str, int] = {"": 0}
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
+        #: In how many slices each word was, halved whenever some are forgotten.
+        self.seen = np.zeros(1 << 16, np.int32)
         self.store = np.zeros(1 << 20, np.int32)
         self.used = 0
 
+    def forget(self) -> None:
+        """Keep the half of the words that most slices had, of equal ones the newer."""
+        n = len(self.slot)
+        rest = np.argsort(self.seen[1:n], kind="stable")[max(n - 1 - self.max_words // 2, 0) :] + 1
+        kept = np.concatenate([[0], np.sort(rest)])
+        words = list(self.slot)
+        self.slot = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.store, ends = gather(self.store, self.start[kept], self.length[kept])
+        self.start, self.length, self.seen = ends[:-1], self.length[kept], self.seen[kept] >> 1
+        self.used = len(self.store)
+
     def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         k = len(self.slot)
         self.slot.update(zip(words, range(k, k + len(words))))
-        while k + len(words) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.start, self.length, self.seen = (grown(x, k + len(words)) for x in (self.start, self.length, self.seen))
+        self.store = grown(self.store, self.used + len(ids))
         self.length[k : k + len(words)] = lengths
         self.start[k : k + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.store[self.used : self.used + len(ids)] = ids
@@ -111,10 +130,12 @@ class WordEncoder:
         """The slot of every word of a column; new ones are learnt."""
         coded = column.dictionary_encode()
         words = strings(coded.dictionary)
-        missing = [w for w in words if w not in self.slot]
-        if missing:
-            learn(missing)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        slots = np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            slots[missing] = len(self.slot) + np.arange(len(missing))
+            learn([words[k] for k in missing.tolist()])
+        self.seen[slots] += 1
         return slots[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else slots
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +148,7 @@ class WordEncoder:
             return np.zeros(0, np.int32), np.zeros(len(column), np.int64)
         if len(self.slot) > self.max_words:
             self.forget()
-        plain = pc.match_substring_regex(words, f"^{PLAIN}[{MARKS}]*$")
+        plain = pc.match_substring_regex(words, IS_PLAIN)
         where = plain.to_numpy(zero_copy_only=False).astype(bool)
         slots = np.zeros((len(words), 2), np.int64)
         easy = words.filter(plain)
