@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words remembered by a worker before it forgets half of them (some 100 MB).
-MAX_WORDS = 300_000
+#: Distinct words remembered by a worker before it forgets half of them (some 70 MB).
+MAX_WORDS = 200_000
 #: Texts are encoded in slices of about so many bytes; each takes some twenty times as much while it is worked on.
 SLICE = 2 << 20
 #: Marks that the splitter never joins to a letter before them, at the end of a word.
